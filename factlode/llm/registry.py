@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .bpe import op7_bpe
 from .quality import op4_quality_rules
 
 
 def queries() -> dict[str, Callable]:
-    return {q.__name__: q for q in (op4_quality_rules,)}
+    return {q.__name__: q for q in (op4_quality_rules, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
