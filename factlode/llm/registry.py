@@ -7,11 +7,12 @@ from collections.abc import Callable
 from .bpe import op7_bpe
 from .quality import op4_quality_rules
 from .tokenstore import op2_token_store
+from .urls import OP3_SQL, op3_url_filter
 
 
 def queries() -> dict[str, Callable]:
-    return {q.__name__: q for q in (op2_token_store, op4_quality_rules, op7_bpe)}
+    return {q.__name__: q for q in (op2_token_store, op3_url_filter, op4_quality_rules, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
