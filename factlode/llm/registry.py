@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .bpe import op7_bpe
+from .decontaminate import op1_decontaminate
+from .pii import op9_pii
 from .quality import op4_quality_rules
 from .tokenstore import op2_token_store
 from .urls import OP3_SQL, op3_url_filter
 
 
 def queries() -> dict[str, Callable]:
-    return {q.__name__: q for q in (op2_token_store, op3_url_filter, op4_quality_rules, op7_bpe)}
+    return {q.__name__: q for q in (op1_decontaminate, op2_token_store, op3_url_filter, op4_quality_rules, op7_bpe, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
