@@ -46,7 +46,10 @@ from .common import ids_and_text, shared_dir, table
 END_ID = 0
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 KEY = 16
-CACHE = 300_000
+CACHE = 400_000
+#: Marks that, after letters, are a token group of their own.
+MARKS = ".,;:!?"
+LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 POOL = "kind string, key binary, doc_id long, n long, body binary, sizes binary"
 RECIPES = "doc_id long, n_tokens long, recipe binary, sizes binary, root binary, part int, start_in_part long, upto binary"
 MANIFEST = "part int, part_start long, n_tokens long, n_docs long, root binary"
@@ -71,35 +74,81 @@ class Encoder:
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.newline = self._ids(["\n"])[0]
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
         self.end = np.array([END_ID], self.kind).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
-        if len(cache) + len(pieces) > CACHE:
-            cache.clear()
-        new = list(pieces.difference(cache))
-        cache.update(zip(new, self._ids([before + p for p in new]), strict=True))
+    def _spaced(self, words: list[str]) -> None:
+        """Ids of " word" for words of letters only, each of which the rule keeps whole: encoded end to end."""
+        for a in range(0, len(words), 4096):
+            part = words[a : a + 4096]
+            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            of = np.array(e.word_ids)
+            cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            if len(cut) != len(part) + 1:
+                self.later.update(zip(part, self._ids([" " + w for w in part]), strict=True))
+                continue
+            ids, size = np.array(e.ids, self.kind).tobytes(), self.kind.itemsize
+            self.later.update(zip(part, [ids[x * size : y * size] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
+
+    def _learn(self, first: set[str], later: set[str]) -> None:
+        if len(self.first) + len(first) > CACHE:
+            self.first.clear()
+        new = list(first.difference(self.first))
+        self.first.update(zip(new, self._ids(new), strict=True))
+        words, marked, rest = set(), [], []
+        for p in later:
+            if (ids := self.older.get(p)) is not None:
+                self.later[p] = ids
+            elif not (m := LETTERS.fullmatch(p)):
+                rest.append(p)
+            elif m[2]:
+                marked.append((p, m[1], m[2]))
+                words.add(m[1])
+            else:
+                words.add(p)
+        self._spaced(list(words.difference(self.later)))
+        self.later.update(zip(rest, self._ids([" " + p for p in rest]), strict=True))
+        for p, word, mark in marked:
+            self.later[p] = self.later[word] + self.marks[mark]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        cut = [None if ODD.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn(self.first, {line[0] for lines in cut if lines for line in lines}, "")
-        self._learn(self.later, {p for lines in cut if lines for line in lines for p in line[1:]}, " ")
+        if len(self.later) > CACHE:
+            # What is asked for again comes back from the older half; the rest goes with it.
+            self.older, self.later = self.later, {}
+        cut: list[list[list[str]] | None] = []
+        for t in texts:
+            lines = t.split("\n")
+            # Only spaces and newlines, none next to another.
+            plain = "".join(lines).isprintable() and not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t)
+            cut.append([line.split(" ") for line in lines] if plain or not ODD.search(t) else None)
+        known: list[list[bytes | None]] = []
+        lacking: set[str] = set()
+        for lines in cut:
+            for line in lines or ():
+                got = list(map(self.later.get, line))
+                got[0] = b""
+                if None in got:
+                    lacking.update([w for w, ids in zip(line, got, strict=True) if ids is None])
+                known.append(got)
+        self._learn({line[0] for lines in cut if lines for line in lines}, lacking)
         whole = iter(self._ids([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
-        out = []
+        out, done = [], iter(known)
         for lines in cut:
+            parts: list[bytes] = []
             if lines is None:
-                parts = [next(whole)]
-            else:
-                parts = []
-                for k, line in enumerate(lines):
-                    if k:
-                        parts.append(self.newline)
-                    parts.append(self.first[line[0]])
-                    parts += map(self.later.__getitem__, line[1:])
+                parts.append(next(whole))
+            for k, line in enumerate(lines or ()):
+                if k:
+                    parts.append(self.newline)
+                parts.append(self.first[line[0]])
+                got = next(done)
+                parts += map(self.later.__getitem__, line[1:]) if None in got else got
             parts.append(self.end)
             out.append(np.frombuffer(b"".join(parts), self.kind))
         return out
@@ -110,22 +159,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    gear = _GEAR[ids & 0xFFFF]
-    h = np.zeros(n, np.uint32)
+def cuts(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream.
+
+    The streams are hashed end to end: the first ``WINDOW`` ids of a stream, which see ids of
+    the one before, lie below ``LEAST`` and never end a chunk."""
+    if not streams:
+        return []
+    gear = _GEAR[np.concatenate(streams) & 0xFFFF]
+    h = np.zeros(len(gear), np.uint32)
     for j in range(WINDOW):
-        h[j:] += gear[: n - j] << np.uint32(j)
+        h[j:] += gear[: len(gear) - j] << np.uint32(j)
+    marks = np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + 1
+    starts = np.cumsum([0, *map(len, streams)])
+    at = np.searchsorted(marks, starts, side="right")
+    return [_ends(len(s), (marks[a:b] - start).tolist()) for s, start, a, b in zip(streams, starts, at, at[1:], strict=False)]
+
+
+def _ends(n: int, marks: list[int]) -> list[int]:
     ends, last = [], 0
-    for e in np.flatnonzero((h >> np.uint32(32 - CUT_BITS)) == 0) + 1:
+    for e in marks:
         while e - last > MOST:
             last += MOST
             ends.append(last)
         if e - last >= LEAST:
-            ends.append(last := int(e))
+            ends.append(last := e)
     while n - last > MOST:
         ends.append(last := last + MOST)
     if last < n:
@@ -164,9 +222,10 @@ def pool(docs: DataFrame, path: str) -> DataFrame:
                     part.append(texts[b].as_py() or "")
                     b += 1
                 rows = []
-                for k, stream in enumerate(use(part)):
+                streams = use(part)
+                for k, (stream, ends) in enumerate(zip(streams, cuts(streams), strict=True)):
                     keys, sizes, last = [], [], 0
-                    for end in cuts(stream):
+                    for end in ends:
                         body = stream[last:end].tobytes()
                         keys.append(key := name(body))
                         sizes.append(end - last)
