@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
+from .neardup import op10_near_duplicates
+from .phrases import op8_repeated_phrases
 from .pii import op9_pii
+from .ppm import op5_lm_scores
 from .quality import op4_quality_rules
+from .suffixes import op6_suffix_dedup
 from .tokenstore import op2_token_store
 from .urls import OP3_SQL, op3_url_filter
 
+ALL = (
+    op1_decontaminate,
+    op2_token_store,
+    op3_url_filter,
+    op4_quality_rules,
+    op5_lm_scores,
+    op6_suffix_dedup,
+    op7_bpe,
+    op8_repeated_phrases,
+    op9_pii,
+    op10_near_duplicates,
+)
+
 
 def queries() -> dict[str, Callable]:
-    return {q.__name__: q for q in (op1_decontaminate, op2_token_store, op3_url_filter, op4_quality_rules, op7_bpe, op9_pii)}
+    return {q.__name__: q for q in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
