@@ -5,12 +5,12 @@
    folded to one hash for each band. Equal sets are one node from here on, so a text with
    thousands of copies is looked at once.
 2. Nodes that share a band's hash are candidates. Each node of a bucket is paired with the
-   bucket's smallest node only, never with all others, and the pair is verified on the full
-   sets: linked if 100 * intersection >= 75 * union.
+   bucket's centre only, never with all others, and the pair is verified on the full sets:
+   linked if 100 * intersection >= 75 * union. Centres are chosen by hash, in ``PIVOTS`` ways.
 3. What a star can miss are links between nodes of one bucket that verification left in
    different components. These nodes go through an exact search: a pair that similar shares
-   one of the rarest ``n - ceil(0.75 n) + 1`` shingles of each set, rarity counted among
-   them. Only pairs of different components are verified, and added to the links.
+   one of the rarest shingles of each set, rarity counted among them. Only pairs of different
+   components are verified, and added to the links.
 4. Components are found by alternating large-star and small-star steps until the edges no
    longer change; every step is a grouping with partial minima and a join.
 
@@ -35,6 +35,8 @@ from . import textkit as tk
 from .common import ids_and_text, save, table
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
+#: Different choices of a bucket's centre.
+PIVOTS = 4
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -137,9 +139,12 @@ def components(edges: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) of nodes (node, n, bands) that yield the components of all similar pairs."""
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
-    buckets = save(rows.groupBy("band", "hash").agg(F.min("node").alias("b"), F.count("*").alias("many")).filter("many > 1").select("band", "hash", "b"), "buckets")
+    # The star's centre differs from band to band, so that a node meets several of its kin.
+    by = F.xxhash64("node", F.col("band") % PIVOTS)
+    centre = rows.groupBy("band", "hash").agg(F.min(by).alias("centre"), F.count("*").alias("many")).filter("many > 1")
+    buckets = save(rows.withColumn("centre", by).join(save(centre, "centres"), ["band", "hash", "centre"]).groupBy("band", "hash").agg(F.min("node").alias("b")), "buckets")
     members = save(rows.join(buckets, ["band", "hash"]).select("band", "hash", "node", "n", "b"), "members")
-    pairs = save(members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    pairs = save(members.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # A doc_id may stand on several texts; the node is the one whose set has the node's digest.
     sets = save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, items array<long>").withColumn("size", F.size("items")).join(nodes.select("node", F.col("n").alias("size")), ["node", "size"], "left_semi").dropDuplicates(["node"]).select("node", "items"), "sets")
@@ -151,11 +156,14 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rare = open_nodes.join(sets, "node").select("node", "n", "component", F.explode("items").alias("item"))
     df = save(rare.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")), "df")
     order = Window.partitionBy("node").orderBy("df", "item")
-    # 4 * need >= 3 * n: of n shingles, all but need - 1 are looked at, the rarest first.
-    prefix = rare.join(df, "item").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-    prefix = save(prefix.filter("lo <> hi").select("item", "node", "n", "component"), "prefix")
+    # The larger set of a pair shows one of its n - ceil(0.75 n) + 1 rarest shingles; the smaller one
+    # need only show its n - ceil(6/7 n) + 1 rarest, since the overlap is at least 6/7 of it.
+    n = F.col("n")
+    placed = rare.join(df, "item").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= n - F.ceil(n * PERCENT / 100) + 1)
+    prefix = save(placed.filter("lo <> hi").withColumn("short", F.col("at") <= n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1).select("item", "node", "n", "component", "short"), "prefix")
     other = prefix.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    more = prefix.join(other, "item").filter((F.col("component") < F.col("c")) & (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
+    more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m"))).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     return star.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), sets))
 
 
