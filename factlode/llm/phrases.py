@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def segments(docs: DataFrame, recur: np.ndarray, hot: np.ndarray, shards: int) -
                 of = a + row[first]
                 is_hot = sieve.holds(hot, anchor)
                 raw = data.tobytes()
-                words = [" ".join(_split(raw[x:y].decode())) for x, y in zip(starts[first].tolist(), ends[first + many + WINDOW - 2].tolist(), strict=True)]
+                words = [b" ".join(raw[x:y].split()).decode() for x, y in zip(starts[first].tolist(), ends[first + many + WINDOW - 2].tolist(), strict=True)]
                 begin = np.searchsorted(row, np.arange(len(offsets) - 1))
                 salt = np.where(is_hot, ids[of] % SALTS, 0).astype(np.int32)
                 arrays = [(anchor % np.uint64(shards)).astype(np.int64), salt, is_hot, anchor.view(np.int64), ids[of], keys[of], first - begin[row[first]]]
@@ -103,13 +105,6 @@ def segments(docs: DataFrame, recur: np.ndarray, hot: np.ndarray, shards: int) -
     return docs.mapInArrow(run, SEGMENT)
 
 
-_BREAKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
-
-
-def _split(text: str) -> list[str]:
-    return [w for w in text.translate(_BREAKS).split(" ") if w]
-
-
 def windows(text: str) -> list[str]:
     words = text.split(" ")
     return [" ".join(words[k : k + WINDOW]) for k in range(len(words) - WINDOW + 1)]
@@ -159,21 +154,34 @@ def _removed(phrases: Phrases, table: pa.Table) -> pa.Table:
     return pa.table({n.split()[0]: pa.array(c, pa.int64()) for n, c in zip(REMOVED.split(", "), columns, strict=True)})
 
 
-def _confirm(table: pa.Table) -> dict[str, int]:
-    """Windows of two or more documents, with the least doc_id."""
-    spans: dict[str, tuple[int, int]] = {}
-    for text, doc_id in zip(table["words"].to_pylist(), table["doc_id"].to_pylist(), strict=True):
-        lo, hi = spans.get(text, (doc_id, doc_id))
-        spans[text] = min(lo, doc_id), max(hi, doc_id)
-    met: dict[str, tuple[int, int]] = {}
-    for text, (lo, hi) in spans.items():
-        for w in windows(text):
-            if w in met:
-                a, b = met[w]
-                met[w] = min(a, lo), max(b, hi)
-            else:
-                met[w] = lo, hi
-    return {w: lo for w, (lo, hi) in met.items() if lo < hi}
+def _confirm(table: pa.Table) -> tuple[dict[str, int], pa.Table]:
+    """Windows of two or more documents, with the least doc_id, and the rows that may hold one."""
+    spans: dict[str, list] = {}
+    for text, doc_id, anchor in zip(table["words"].to_pylist(), table["doc_id"].to_pylist(), table["anchor"].to_pylist(), strict=True):
+        at = spans.setdefault(text, [doc_id, doc_id, anchor])
+        at[0], at[1] = min(at[0], doc_id), max(at[1], doc_id)
+    texts: dict[int, list[str]] = {}
+    for text, (_, _, anchor) in spans.items():
+        texts.setdefault(anchor, []).append(text)
+    owners: dict[str, int] = {}
+    live = set()
+    for anchor, of in texts.items():
+        before = len(owners)
+        if len(of) == 1:  # equal windows have equal anchors, so no other text counts
+            lo, hi, _ = spans[of[0]]
+            if lo < hi:
+                owners.update(dict.fromkeys(windows(of[0]), lo))
+        else:
+            met: dict[str, tuple[int, int]] = {}
+            for text in of:
+                lo, hi, _ = spans[text]
+                for w in windows(text):
+                    a, b = met.get(w, (lo, hi))
+                    met[w] = min(a, lo), max(b, hi)
+            owners.update((w, lo) for w, (lo, hi) in met.items() if lo < hi)
+        if len(owners) > before:
+            live.add(anchor)
+    return owners, table.filter(pc.is_in(table["anchor"], pa.array(sorted(live), pa.int64())))
 
 
 def removed_spans(source: DataFrame) -> DataFrame:
@@ -188,9 +196,10 @@ def removed_spans(source: DataFrame) -> DataFrame:
     found = segments(known, recur, hot, shards)
 
     def cold(rows: pa.Table) -> pa.Table:
-        return _removed(Phrases(_confirm(rows)), rows)
+        owners, rows = _confirm(rows)
+        return _removed(Phrases(owners), rows)
 
-    plain = found.filter("NOT hot").select("shard", "doc_id", "text_key", "first", "words").groupBy("shard").applyInArrow(cold, REMOVED)
+    plain = found.filter("NOT hot").select("shard", "anchor", "doc_id", "text_key", "first", "words").groupBy("shard").applyInArrow(cold, REMOVED)
     busy = save(found.filter("hot").drop("hot"), "busy")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +235,15 @@ def _kept(docs: DataFrame, with_text: bool) -> DataFrame:
         for batch in batches:
             rows = []
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                words = _split(text.as_py() or "")
-                keep = np.ones(len(words), bool)
-                for s in spans.as_py() or ():
-                    keep[s["first"] : s["last"]] = False
-                kept = " ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if not keep.all() else " ".join(words)
-                rows.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept)[: 3 + with_text])
+                words = (text.as_py() or "").encode().split()  # bytes part at \x20 and \x09-\x0D only
+                left = words
+                if spans := spans.as_py():
+                    keep = bytearray(b"\1" * len(words))
+                    for s in spans:
+                        keep[s["first"] : s["last"]] = bytes(s["last"] - s["first"])
+                    left = list(compress(words, keep))
+                kept = b" ".join(left)
+                rows.append((len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None)[: 3 + with_text])
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + with_text]
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
