@@ -9,13 +9,18 @@ from factlode.functions import r2, r2_sql, ratio, ratio_sql
 from factlode.plans.registry import query
 from factlode.sources.fixtures import base, fixture
 
-DAY = Window.partitionBy("symbol").orderBy("day")
+
+
+def by_day():
+    return Window.partitionBy("symbol").orderBy("day")
+
+
 TARGET = "1996-06-15"
 CHANGE_SQL = f"SELECT symbol, day, close, close - prev AS change, {r2_sql('((close - prev) / prev * 100e0)')} AS change_pct FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS prev FROM prices) p"
 
 
 def changes(prices: DataFrame) -> DataFrame:
-    p = prices.withColumn("prev", F.lag("close").over(DAY))
+    p = prices.withColumn("prev", F.lag("close").over(by_day()))
     diff = F.col("close") - F.col("prev")
     return p.select("symbol", "day", "close", "volume", diff.alias("change"), r2(diff / F.col("prev") * 100.0).alias("change_pct"))
 
@@ -39,7 +44,7 @@ def valuation_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("range_52w", "SELECT symbol, day, MAX(high) OVER w AS high_52w, MIN(low) OVER w AS low_52w FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)")
 def range_52w(spark: SparkSession, d: str) -> DataFrame:
-    w = DAY.rowsBetween(-249, 0)
+    w = by_day().rowsBetween(-249, 0)
     return fixture(spark, d, "prices").select("symbol", "day", F.max("high").over(w).alias("high_52w"), F.min("low").over(w).alias("low_52w"))
 
 
