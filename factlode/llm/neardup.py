@@ -6,7 +6,8 @@
    thousands of copies is looked at once.
 2. Nodes that share a band's hash are candidates. Each node of a bucket is paired with the
    bucket's centre only, never with all others, and the pair is verified on the full sets:
-   linked if 100 * intersection >= 75 * union. Centres are chosen by hash, in ``PIVOTS`` ways.
+   linked if 100 * intersection >= 75 * union. Centres are chosen by hash, in ``PIVOTS`` ways;
+   a second round pairs what is still apart with centres of other components.
 3. What a star can miss are links between nodes of one bucket that verification left in
    different components. These nodes go through an exact search: a pair that similar shares
    one of the rarest shingles of each set, rarity counted among them. Only pairs of different
@@ -136,6 +137,13 @@ def components(edges: DataFrame) -> DataFrame:
     return save(out.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
 
 
+def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (band, hash, node, n, component) of the buckets that hold more than one component."""
+    placed = members.select("band", "hash", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "hash")
+    return save(placed.join(save(mixed, "mixed"), ["band", "hash"], "left_semi"), "unsettled")
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) of nodes (node, n, bands) that yield the components of all similar pairs."""
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
@@ -149,10 +157,15 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     # A doc_id may stand on several texts; the node is the one whose set has the node's digest.
     sets = save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, items array<long>").withColumn("size", F.size("items")).join(nodes.select("node", F.col("n").alias("size")), ["node", "size"], "left_semi").dropDuplicates(["node"]).select("node", "items"), "sets")
     star = save(verified(pairs, sets), "star")
-    parts = components(star)
-    placed = members.select("band", "hash", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "hash")
-    open_nodes = save(placed.join(save(mixed, "mixed"), ["band", "hash"], "left_semi").select("node", "n", "component").distinct(), "open")
+    # Once more, only for what is still apart: nodes against centres of other components.
+    met = unsettled(members, components(star))
+    chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", "band")) for k in range(PIVOTS)]
+    centres = save(met.groupBy("band", "hash").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("band", "hash", F.inline("centres")), "centres")
+    across = met.join(centres, ["band", "hash"]).filter("component <> c").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    second = save(across.join(pairs, ["a", "b"], "left_anti"), "second")
+    star = save(star.unionByName(verified(second, sets)), "star")
+    pairs = pairs.unionByName(second)
+    open_nodes = save(unsettled(members, components(star)).select("node", "n", "component").distinct(), "open")
     rare = open_nodes.join(sets, "node").select("node", "n", "component", F.explode("items").alias("item"))
     df = save(rare.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")), "df")
     order = Window.partitionBy("node").orderBy("df", "item")
@@ -160,10 +173,12 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     # need only show its n - ceil(6/7 n) + 1 rarest, since the overlap is at least 6/7 of it.
     n = F.col("n")
     placed = rare.join(df, "item").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= n - F.ceil(n * PERCENT / 100) + 1)
-    prefix = save(placed.filter("lo <> hi").withColumn("short", F.col("at") <= n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1).select("item", "node", "n", "component", "short"), "prefix")
-    other = prefix.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
+    prefix = save(placed.filter("lo <> hi").withColumn("short", F.col("at") <= n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1).select("item", "node", "n", "component", "at", "short"), "prefix")
+    other = prefix.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("at").alias("to"))
     larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
-    more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m"))).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    # At the first item two sets share, what follows it in each must still hold the overlap they need.
+    room = (100 + PERCENT) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= PERCENT * (n + F.col("m"))
+    more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m")) & room).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     return star.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), sets))
 
 
