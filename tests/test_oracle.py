@@ -10,6 +10,8 @@ from factlode.plans import registry
 
 NAMES = sorted(registry.oracle_sql())
 SEARCH = ("match_companies", "match_metrics", "extract_years", "metric_query", "bm25_index", "bm25_search", "mrr", "recall_at_k", "ndcg_at_k")
+LANGUAGE = ("parse_value_unit", "sanitize_text", "document_filter", "key_map_exact", "key_map_fuzzy", "resolve_anaphora")
+FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
 
 def plain(v):
@@ -29,7 +31,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted({*NAMES[::4], *SEARCH}))
+@pytest.mark.parametrize("name", sorted({*NAMES[::4], *SEARCH, *LANGUAGE, *FUSION}))
 def test_matches_duckdb(spark, sf, duck, name):
     got = registry.queries()[name](spark, sf)
     want = duck.sql(registry.oracle_sql()[name])
