@@ -4,17 +4,22 @@ Training documents are those whose ``crc32(doc_id as text) % 10`` is not 0. One
 them gathers two kinds of counts, added up in each task before the exchange: words (hashed,
 A-Z lower-cased), and byte strings of up to ``ORDER + 1`` bytes, which are the context trie.
 
-The trie keeps strings whose share of all training bytes is at least ``SHARE``; so it has at
-most ``1 / SHARE`` strings of a length whatever the corpus, and can go to every task. All
-training bytes are counted, and a string's ending is kept whenever the string is. A symbol's
-probability follows method C: in the longest context known, ``c / (n + d)`` for a symbol
+The trie keeps every string of the training bytes and grows with them, so it stays distributed.
+The score of a byte depends only on the ``ORDER + 1`` bytes that end with it: the pass also
+gathers these strings of the held-out documents, with count 0, and each such string is scored
+once. For that the strings of three bytes and more are sharded by the two bytes before their
+last, so a shard holds all contexts of its strings but those of one byte and none, whose strings
+(65,792 at most) go to every task. The commonest ``FAST`` strings go to every task with their scores;
+each document's other strings are exchanged and joined with theirs.
+
+A symbol's probability follows method C: in the longest context known, ``c / (n + d)`` for a symbol
 seen c times among n, or ``d / (n + d)`` for an escape, d being the distinct symbols. After
 an escape the next shorter context leaves out the symbols of the longer one; below the
 empty context the remaining byte values are equally likely. Texts begin after ``ORDER`` bytes
 0xFF and end with one, which no UTF-8 text holds, so the score is the probability of exactly
 this text.
 
-Word counts are an open vocabulary and stay distributed. The ``FREQUENT`` commonest words go
+Word counts are an open vocabulary and stay distributed too. The ``FREQUENT`` commonest words go
 to every task; only the other words of each document are exchanged and joined with their
 counts, and no key among those is hot.
 
@@ -37,11 +42,12 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import ids_and_text, save, table
 
-ORDER, SHARE, FREQUENT = 4, 2.0**-20, 200_000
+ORDER, FAST, FREQUENT = 4, 2**20, 200_000
 EDGE = 0xFF
 HOLD = 4_000_000
+SHARD = 500_000
 COUNTS = "level int, key long, count long"
-SCHEMA = "doc_id long, text_key long, word long, tf long, n_tokens long, n_known long, base double, score double, rows long"
+SCHEMA = "doc_id long, text_key long, level int, key long, tf long, n_tokens long, n_known long, base double, score double, rows long"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -95,10 +101,13 @@ class Tally:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Counts of the training documents: level 0 words, level n byte strings of length n, level -1 documents."""
+    """Counts of the training documents: level 0 words, level n byte strings of length n, level -1 documents.
+
+    The longest strings of the held-out documents are among them, with count 0 unless training documents have them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, longest, documents = Tally(), Tally(), 0
+        words, longest, asked, documents = Tally(), Tally(), Tally(), 0
         for batch in batches:
             keep = [not held_out(i) for i in batch.column("doc_id").to_pylist()]
             documents += sum(keep)
@@ -106,8 +115,13 @@ def gather(docs: DataFrame) -> DataFrame:
             for _, _, data, offsets in tk.blocks(text):
                 words.add(words_of(data, offsets)[0])
                 longest.add(strings(data, offsets)[0])
+            for _, _, data, offsets in tk.blocks(batch.column("text").filter(pa.array([not k for k in keep], pa.bool_()))):
+                asked.add(strings(data, offsets)[0])
         parts = [(-1, np.zeros(1, np.int64), np.array([documents])), (0, *words.total())]
         keys, counts = longest.total()
+        only = asked.total()[0]
+        only = only[~_find(keys, only)[1]]
+        parts.append((ORDER + 1, only, np.zeros(len(only), np.int64)))
         for n in range(ORDER + 1, 0, -1):
             keys, counts = added(keys & ((1 << 8 * n) - 1), counts)
             parts.append((n, keys, counts))
@@ -194,13 +208,51 @@ def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trained(counts: DataFrame) -> Model:
-    """The trie: at most (ORDER + 1) / SHARE strings come to the driver."""
-    total = counts.filter("level = 1").agg(F.sum("count")).first()[0] or 0
-    kept = counts.filter((F.col("level") > 0) & (F.col("count") >= max(1.0, total * SHARE))).toArrow()
+    """The model of all given strings, on the driver."""
+    kept = counts.filter("level > 0 AND count > 0").toArrow()
     level, key, count = (kept[c].to_numpy() for c in ("level", "key", "count"))
     return Model.of({n: (key[level == n], count[level == n]) for n in range(1, ORDER + 2)})
 
 
+def valued(counts: DataFrame) -> DataFrame:
+    """key, count and log10 of the probability (``value``) of each longest string of any document."""
+    spark = counts.sparkSession
+    short = trained(counts.filter("level IN (1, 2)"))
+    sent = spark.sparkContext.broadcast({n: (short.levels[n].keys, short.levels[n].counts) for n in (1, 2)})
+    long = counts.filter("level > 2")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), long.count() // SHARD + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(c).to_numpy() for c in ("level", "key", "count")] for b in batches]
+        if not got:
+            return
+        level, key, count = (np.concatenate(x) for x in zip(*got, strict=True))
+        seen = count > 0
+        model = Model.of({**sent.value, **{n: (key[seen & (level == n)], count[seen & (level == n)]) for n in range(3, ORDER + 2)}})
+        key, count = key[level == ORDER + 1], count[level == ORDER + 1]
+        for a in range(0, len(key), 50_000):
+            k = key[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(count[a : a + 50_000]), pa.array(model.log10(k))], names=["key", "count", "value"])
+
+    before = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    return long.repartition(shards, before).mapInArrow(run, "key long, count long, value double")
+
+
+def commonest(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of the commonest strings, FAST at most: whole classes of counts, the highest first."""
+    band = F.floor(F.log2(F.col("count") + 1) * 8)
+    bar, size = None, 0
+    for r in sorted(values.groupBy(band.alias("band")).count().collect(), reverse=True):
+        size += r["count"]
+        if size > FAST:
+            break
+        bar = r.band
+    got = values.filter(F.lit(False) if bar is None else band >= bar).select("key", "value").toArrow()
+    keys, value = got["key"].to_numpy(), got["value"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], value[order]
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -210,10 +262,11 @@ def scores(docs: DataFrame) -> DataFrame:
     distinct = many + (ends > 0)
     unit = float(np.log10(tokens + 0.1 * (distinct + 1)))
     vocabulary = counts.filter("level = 0").select("key", "count")
-    sent = spark.sparkContext.broadcast((trained(counts), *_arrays(vocabulary.orderBy(F.desc("count"), "key").limit(FREQUENT))))
+    values = save(valued(counts), "values")
+    sent = spark.sparkContext.broadcast((*commonest(values), *_arrays(vocabulary.orderBy(F.desc("count"), "key").limit(FREQUENT))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, common, often = sent.value
+        fast, value, common, often = sent.value
         worth = np.log10(often + 0.1)
         for batch in batches:
             ids = batch.column("doc_id")
@@ -221,26 +274,33 @@ def scores(docs: DataFrame) -> DataFrame:
                 n = b - a
                 spans = tk.Spans(data)(offsets[:-1], offsets[1:]).view(np.int64)
                 grams, gram_row = strings(data, offsets)
-                score = np.bincount(gram_row, model.log10(grams), n)
+                at, known = _find(fast, grams)
+                score = np.bincount(gram_row[known], value[at[known]] if len(value) else [], n).astype(float)
+                missed = grams[~known], gram_row[~known]
                 word, row = words_of(data, offsets)
                 at, known = _find(common, word)
                 base = np.bincount(row[known], worth[at[known]] if len(worth) else [], n) + np.log10(ends + 0.1)
-                summary = [ids[a:b], spans, tk.mix(spans.view(np.uint64)).view(np.int64), np.zeros(n, np.int64), np.bincount(row, minlength=n) + 1, np.bincount(row[known], minlength=n) + (ends > 0), base, score, np.ones(n, np.int64)]
-                rare, of = word[~known], row[~known]
-                order = np.lexsort((rare, of))
-                rare, of = rare[order], of[order]
-                first = np.ones(len(rare), bool)
-                first[1:] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
-                begin = np.flatnonzero(first)
-                m = len(begin)
-                rest = [ids[a:b].take(pa.array(of[begin])), spans[of[begin]], rare[begin], np.diff(np.append(begin, len(rare))), *[np.zeros(m, np.int64)] * 2, *[np.zeros(m)] * 2, np.zeros(m, np.int64)]
+                summary = [ids[a:b], spans, np.zeros(n, np.int32), tk.mix(spans.view(np.uint64)).view(np.int64), np.zeros(n, np.int64), np.bincount(row, minlength=n) + 1, np.bincount(row[known], minlength=n) + (ends > 0), base, score, np.ones(n, np.int64)]
+                rest = []
+                for level, (rare, of) in ((0, (word[~known], row[~known])), (ORDER + 1, missed)):
+                    order = np.lexsort((rare, of))
+                    rare, of = rare[order], of[order]
+                    first = np.ones(len(rare), bool)
+                    first[1:] = (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])
+                    begin = np.flatnonzero(first)
+                    m = len(begin)
+                    rest.append([ids[a:b].take(pa.array(of[begin])), spans[of[begin]], np.full(m, level, np.int32), rare[begin], np.diff(np.append(begin, len(rare))), *[np.zeros(m, np.int64)] * 2, *[np.zeros(m)] * 2, np.zeros(m, np.int64)])
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
-                for part in (summary, rest):
+                for part in (summary, *rest):
                     yield pa.RecordBatch.from_arrays([part[0], *(pa.array(x) for x in part[1:])], names=names)
 
     rows = ids_and_text(docs).mapInArrow(run, SCHEMA)
-    c = F.coalesce(F.col("count"), F.lit(0))
-    joined = rows.join(vocabulary.withColumnRenamed("key", "word"), "word", "left").select("doc_id", "text_key", "n_tokens", (F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"), (F.col("base") + F.col("tf") * F.log10(c + F.lit(0.1))).alias("base"), "score", "rows")
+    word, tf, c = F.col("level") == 0, F.col("tf"), F.coalesce(F.col("count"), F.lit(0))
+    found = vocabulary.select(F.lit(0).alias("level"), "key", "count", F.lit(0.0).alias("value")).unionByName(values.select(F.lit(ORDER + 1).alias("level"), "key", "count", "value"))
+    joined = rows.join(found, ["level", "key"], "left").select(
+        "doc_id", "text_key", "n_tokens", (F.col("n_known") + F.when(word & (c > 0), tf).otherwise(0)).alias("n_known"),
+        (F.col("base") + F.when(word, tf * F.log10(c + F.lit(0.1))).otherwise(0.0)).alias("base"), (F.col("score") + F.when(word, 0.0).otherwise(tf * F.col("value"))).alias("score"), "rows",
+    )
     summed = joined.groupBy("doc_id", "text_key").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score", "rows")))
     out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     one = lambda x: F.col(x) / F.col("rows")  # noqa: E731  equal rows were added up

@@ -107,6 +107,48 @@ def test_ppm(spark, docs):
     assert ppm.scores(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("fast", [0, 300, None])
+def test_ppm_keeps_rare_strings(spark, docs, fast, monkeypatch):
+    import math
+
+    from factlode.llm import ppm
+
+    if fast is not None:
+        monkeypatch.setattr(ppm, "FAST", fast)
+    # So much common text that a string met once or twice has less than 2^-20 of all training bytes.
+    common = [(i, "x y z " * 15_000) for i in range(1000, 1070)]
+    more = spark.createDataFrame([*common, (2000, "x y an deisq\xe9 \u4e2d\u6587")], "doc_id long, text string")
+    rows = with_id(docs) + with_id(more)
+    bytes_of = lambda t: b"\xff" * 4 + t.encode() + b"\xff"
+    seen = collections.defaultdict(collections.Counter)
+    for t, times in collections.Counter(t for i, t in rows if not ppm.held_out(i)).items():
+        b = bytes_of(t)
+        for k in range(4, len(b)):
+            for n in range(5):
+                seen[b[k - n : k]][b[k]] += times
+
+    def value(b):
+        got, out = 0.0, set()
+        for n in range(4, -1, -1):
+            after = {s: c for s, c in seen.get(b[4 - n : 4], {}).items() if s not in out}
+            if after:
+                room = sum(after.values()) + len(after)
+                if b[4] in after:
+                    return got + math.log10(after[b[4]] / room)
+                got += math.log10(len(after) / room)
+                out |= set(after)
+        return got - math.log10(256 - len(out))
+
+    known = {}
+    for t in {t for _, t in rows}:
+        b = bytes_of(t)
+        known[t] = sum(value(s) * c for s, c in collections.Counter(b[k - 4 : k + 1] for k in range(4, len(b))).items())
+    want = sorted(((-1 if i is None else i, known[t]) for i, t in rows))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in ppm.scores(docs.select("doc_id", "text").unionByName(more)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
 @pytest.mark.parametrize("hot", [2, 400])
 def test_suffixes(docs, hot, monkeypatch):
     from factlode.llm import suffixes
