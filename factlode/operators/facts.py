@@ -227,9 +227,29 @@ def group_extremes(spark: SparkSession, d: str) -> DataFrame:
     return some.groupBy("symbol").agg(F.count("*").alias("n"), F.max_by("metric_key", "metric_value").alias("best"), F.min_by("metric_key", "metric_value").alias("worst"))
 
 
+BEST, WORST = "metric_value DESC NULLS LAST, metric_key", "metric_value ASC NULLS LAST, metric_key"
+
+
+@query("group_extremes_all", f"SELECT symbol, year, quarter, COUNT(*) AS n, MAX(CASE WHEN hi = 1 AND metric_value IS NOT NULL THEN metric_key END) AS best, MAX(CASE WHEN lo = 1 AND metric_value IS NOT NULL THEN metric_key END) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY symbol, year, quarter ORDER BY {BEST}) AS hi, row_number() OVER (PARTITION BY symbol, year, quarter ORDER BY {WORST}) AS lo FROM facts) q GROUP BY symbol, year, quarter")
+def group_extremes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all metrics in each quarter; of equal values, the first metric by name. Nulls only count."""
+    v = F.col("metric_value")
+    first = lambda by: F.min_by("metric_key", F.when(v.isNotNull(), F.struct(by, F.col("metric_key"))))
+    return fixture(spark, d, "facts").groupBy("symbol", "year", "quarter").agg(F.count("*").alias("n"), first((-v).alias("v")).alias("best"), first(v.alias("v")).alias("worst"))
+
+
 @query("conflict_detect", "SELECT symbol, year, metric_key, first_value, COUNT(*) AS n, SUM(CASE WHEN abs(metric_value - first_value) / greatest(abs(first_value), 0.01e0) > 0.05e0 THEN 1 ELSE 0 END) AS conflicts FROM (SELECT *, first_value(metric_value) OVER (PARTITION BY symbol, year, metric_key ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_value FROM facts WHERE metric_key IN ('revenue', 'eps')) q GROUP BY symbol, year, metric_key, first_value")
 def conflict_detect(spark: SparkSession, d: str) -> DataFrame:
+    return conflicts(fixture(spark, d, "facts").filter(F.col("metric_key").isin("revenue", "eps")))
+
+
+def conflicts(facts: DataFrame) -> DataFrame:
     w = Window.partitionBy("symbol", "year", "metric_key").orderBy("quarter").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = fixture(spark, d, "facts").filter(F.col("metric_key").isin("revenue", "eps")).withColumn("first_value", F.first("metric_value").over(w))
+    rows = facts.withColumn("first_value", F.first("metric_value").over(w))
     off = F.abs(F.col("metric_value") - F.col("first_value")) / F.greatest(F.abs("first_value"), F.lit(0.01)) > 0.05
-    return rows.groupBy("symbol", "year", "metric_key", "first_value").agg(F.count("*").alias("n"), F.sum(off.cast("long")).alias("conflicts"))
+    return rows.groupBy("symbol", "year", "metric_key", "first_value").agg(F.count("*").alias("n"), F.count_if(off).alias("conflicts"))
+
+
+@query("conflict_detect_all", "SELECT symbol, year, metric_key, first_value, COUNT(*) AS n, SUM(CASE WHEN abs(metric_value - first_value) / greatest(abs(first_value), 0.01e0) > 0.05e0 THEN 1 ELSE 0 END) AS conflicts FROM (SELECT *, first_value(metric_value) OVER (PARTITION BY symbol, year, metric_key ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_value FROM facts) q GROUP BY symbol, year, metric_key, first_value")
+def conflict_detect_all(spark: SparkSession, d: str) -> DataFrame:
+    return conflicts(fixture(spark, d, "facts"))

@@ -237,6 +237,16 @@ def cross_company_compare(spark: SparkSession, d: str) -> DataFrame:
     return left.join(a.filter("symbol = '000002'").select("year", F.col("symbol").alias("right_symbol"), F.col("margin").alias("right_margin")), "year")
 
 
+@query("cross_company_compare_all", f"SELECT m.year, m.symbol AS left_symbol, l.symbol AS right_symbol, {r2_sql('(m.net_profit / m.revenue * 100e0)')} AS left_margin, {r2_sql('(l.net_profit / l.revenue * 100e0)')} AS right_margin FROM (SELECT a.*, c.sector FROM annual a JOIN companies c ON a.symbol = c.symbol) m JOIN (SELECT a.*, c.sector, row_number() OVER (PARTITION BY c.sector, a.year ORDER BY a.revenue DESC NULLS LAST, a.symbol) AS place FROM annual a JOIN companies c ON a.symbol = c.symbol) l ON m.sector = l.sector AND m.year = l.year AND l.place = 1")
+def cross_company_compare_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each company and year beside the company of the highest revenue in its sector, itself if it leads."""
+    sectors = fixture(spark, d, "companies").select("symbol", "sector")
+    a = fixture(spark, d, "annual").join(sectors, "symbol").select("symbol", "sector", "year", "revenue", r2(F.col("net_profit") / F.col("revenue") * 100.0).alias("margin"))
+    leaders = a.groupBy("sector", "year").agg(F.min_by(F.struct("symbol", "margin"), F.struct(F.col("revenue").isNull(), -F.col("revenue"), "symbol")).alias("top"))
+    right = leaders.select("sector", "year", F.col("top.symbol").alias("right_symbol"), F.col("top.margin").alias("right_margin"))
+    return a.join(right, ["sector", "year"]).select("year", F.col("symbol").alias("left_symbol"), "right_symbol", F.col("margin").alias("left_margin"), "right_margin")
+
+
 @query("industry_peers", f"SELECT c.sector, i.symbol, i.year, {formula_sql('roe')} AS roe, COUNT(*) OVER (PARTITION BY c.sector, i.year) AS peers FROM ({INPUT_SQL}) i JOIN companies c ON i.symbol = c.symbol")
 def industry_peers(spark: SparkSession, d: str) -> DataFrame:
     joined = formula_input(spark, d).join(fixture(spark, d, "companies").select("symbol", "sector"), "symbol")

@@ -42,6 +42,22 @@ def test_matches_duckdb(spark, sf, duck, name):
     assert rows == sorted((tuple(map(plain, r)) for r in want.select(*[f'"{c}"' for c in columns]).fetchall()), key=key)
 
 
+@pytest.mark.parametrize("name", ["conflict_detect_all", "group_extremes_all", "cross_company_compare_all"])
+def test_whole_tables_match_duckdb(spark, sf, duck, name):
+    test_matches_duckdb(spark, sf, duck, name)
+
+
+def test_whole_tables_are_covered(spark, sf):
+    from factlode.sources.fixtures import fixture
+
+    facts, annual = fixture(spark, sf, "facts"), fixture(spark, sf, "annual")
+    keys = lambda df, *c: {tuple(r) for r in df.select(*c).distinct().collect()}
+    run = lambda name: registry.queries()[name](spark, sf)
+    assert keys(run("conflict_detect_all"), "symbol", "year", "metric_key") == keys(facts, "symbol", "year", "metric_key")
+    assert keys(run("group_extremes_all"), "symbol", "year", "quarter") == keys(facts, "symbol", "year", "quarter")
+    assert keys(run("cross_company_compare_all"), "left_symbol", "year") == keys(annual, "symbol", "year")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
