@@ -2,8 +2,8 @@
 
 1. One pass turns each text into its set of shingles (64-bit hashes of five lower-cased
    words), the set's digest, and ``BANDS * ROWS`` minima under universal hash functions,
-   folded to one hash for each band. Equal sets are one node from here on, so a text with
-   thousands of copies is looked at once.
+   folded to one hash for each band. The digest is the node: equal sets are one node from here
+   on, so a text with thousands of copies is looked at once.
 2. Nodes that share a band's hash are candidates. Each node of a bucket is paired with the
    bucket's centre only, never with all others, and the pair is verified on the full sets:
    linked if 100 * intersection >= 75 * union. Centres are chosen by hash, in ``PIVOTS`` ways;
@@ -17,8 +17,8 @@
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked
 with nothing; a text of under five words has one shingle, the whole sequence; rows with equal
-doc_id are one node's members like any others. A null doc_id has no rank: such a row gets the
-smallest id of the rows with an equal set, or null, and is kept only where that is null. An
+doc_id are members by their texts, like any others. A null doc_id has no rank: such a row gets the
+smallest id of its component, or null, and is kept only where that is null. An
 empty table gives no rows; further columns are ignored.
 """
 
@@ -77,23 +77,28 @@ def band_hashes(items: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def digest(items: np.ndarray) -> int | None:
+    """The node of a set; none of the empty set."""
+    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True) if len(items) else None
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met: set[bytes] = set()
+    met: set[int] = set()
     for batch in batches:
-        n, keys, bands = [], [], []
+        n, nodes, bands = [], [], []
         for items in shingle_sets(batch.column("text")):
-            key = hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+            node = digest(items)
             n.append(len(items))
-            keys.append(key)
-            bands.append(None if key is None or key in met else band_hashes(items))
-            met.add(key)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "bands"])
+            nodes.append(node)
+            bands.append(None if node is None or node in met else band_hashes(items))
+            met.add(node)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "at", "n_shingles", "node", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+        sets = [(digest(s), s.view(np.int64)) for s in shingle_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.list_(pa.int64()))], names=["node", "items"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) of nodes (node, n, bands) that yield the components of all similar pairs."""
+    """Verified links (a, b) of nodes (node, at, n, bands) that yield the components of all similar pairs."""
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     # The star's centre differs from band to band, so that a node meets several of its kin.
     by = F.xxhash64("node", F.col("band") % PIVOTS)
@@ -153,9 +158,10 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = save(rows.withColumn("centre", by).join(save(centre, "centres"), ["band", "hash", "centre"]).groupBy("band", "hash").agg(F.min("node").alias("b")), "buckets")
     members = save(rows.join(buckets, ["band", "hash"]).select("band", "hash", "node", "n", "b"), "members")
     pairs = save(members.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # A doc_id may stand on several texts; the node is the one whose set has the node's digest.
-    sets = save(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, items array<long>").withColumn("size", F.size("items")).join(nodes.select("node", F.col("n").alias("size")), ["node", "size"], "left_semi").dropDuplicates(["node"]).select("node", "items"), "sets")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    # One row of each node is read again: ``at`` tells apart rows of one doc_id with different texts.
+    rows_of = nodes.select("node", "at").join(wanted, "node", "left_semi").select("at").distinct()
+    sets = save(docs.join(rows_of, "at", "left_semi").select("text").mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
     star = save(verified(pairs, sets), "star")
     # Once more, only for what is still apart: nodes against centres of other components.
     met = unsettled(members, components(star))
@@ -182,17 +188,28 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return star.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), sets))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``at``, a hash of the two."""
+    return ids_and_text(docs).withColumn("at", F.xxhash64("doc_id", "text"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, at, n_shingles, component (null for an empty set) and component_id, its least doc_id, of every document."""
+    source = _rows(docs)
+    sketch = save(source.select("doc_id", "at", "text").mapInArrow(_sketch, "doc_id long, at long, n_shingles long, node long, bands array<long>"), "sketch")
+    nodes = save(sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("at").alias("at"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.max("bands").alias("bands")), "nodes")
+    found = components(links(nodes, source))
+    placed = save(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = save(placed.join(least, "component").select("node", "component", "component_id"), "of_node")
+    empty = sketch.filter("node IS NULL").select("doc_id", "at", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    rest = sketch.filter("node IS NOT NULL").select("doc_id", "at", "n_shingles", "node").join(of_node, "node")
+    return rest.select("doc_id", "at", "n_shingles", "component", "component_id").unionByName(empty)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    source = ids_and_text(docs)
-    sketch = save(source.mapInArrow(_sketch, "doc_id long, n_shingles long, key binary, bands array<long>"), "sketch")
-    nodes = save(sketch.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.max("bands").alias("bands")), "nodes")
-    # Rows that share a doc_id but not a text would be one node; its links then hold for all of them.
-    found = components(links(nodes.filter("node IS NOT NULL").dropDuplicates(["node"]), source))
-    of_key = save(nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component")), "of_key")
-    empty = sketch.filter("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rest = sketch.filter("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(of_key, "key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return rest.unionByName(empty).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,9 +217,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, that with the least doc_id.
-
-    Rows that repeat this document's id all stay, as their texts may differ."""
-    found = near_duplicates(docs)
-    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one row of each group stays, one with the least doc_id, or with none if no row has an id."""
+    found = save(grouped(docs).filter("component IS NOT NULL").groupBy("doc_id", "at", "component").agg(F.count("*").alias("many")), "grouped")
+    best = found.groupBy("component").agg(F.count("*").alias("texts"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("best"))
+    shared = found.join(best.filter("texts > 1"), "component", "left")
+    stays = F.col("best").isNull() | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.at") == F.col("at")))
+    # Rows to drop, and rows of which one stays, as both id and text are repeated.
+    marked = save(shared.select("doc_id", "at", "many", stays.alias("stays")).filter("NOT stays OR many > 1"), "marked")
+    names = docs.columns
+    source = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__at": F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
+    same = lambda m: source["__id"].eqNullSafe(m["doc_id"]) & (source["__at"] == m["at"])
+    repeated = marked.filter("stays")
+    one = source.join(repeated, same(repeated), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__at").orderBy("__at"))).filter("__n = 1")
+    return source.join(marked, same(marked), "left_anti").select(*names).unionByName(one.select(*names))

@@ -255,6 +255,24 @@ def test_near_duplicates(docs):
     assert near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_by_row(spark):
+    from factlode.llm import neardup
+
+    word = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+    text = lambda k, end="": " ".join(word(k, 60) + ([end] if end else []))
+    rows = [
+        (1, text(0)), (2, text(1)), (7, text(0, "z")), (7, text(1, "z")), (7, text(2)),  # one id, three texts: two are near copies
+        (None, text(3)), (None, text(3)), (None, text(3, "z")), (None, text(4)), (None, text(0, "y")),  # rows without id
+        (9, text(5)), (9, text(5)), (None, ""), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = collections.Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect())
+    assert got == collections.Counter([(1, 1), (2, 2), (7, 1), (7, 2), (7, 7), (None, 1), *[(None, None)] * 6, (9, 9), (9, 9)])
+    left = {r.k for r in neardup.stage(spark, docs, "").collect()}
+    assert {0, 1, 4, 8, 12, 13} <= left and not {2, 3, 9} & left
+    assert len({5, 6, 7} & left) == 1 and len({10, 11} & left) == 1 and len(left) == 8
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
