@@ -10,13 +10,19 @@ Texts and items are compared lower-cased, with each run of white space as one sp
 The items are a stated query set. They go to the tasks in blocks of at most ``BLOCK_BYTES``;
 a longer benchmark means more blocks, and one pass over the documents for each.
 
-Defined results: null or empty texts match nothing; items under ``LEAST`` characters are left
-out, as no piece of theirs would be telling; repeated items and repeated rows are each matched
-(rows alike); an empty table gives no rows; further columns are ignored.
+Items under ``LEAST`` characters have a budget of 0 or 1, and their pieces are met by chance inside
+words; so every passage around a hit is compared, and only those count that neither begin nor end
+within a word. Scripts without spaces have no word ends, and any place will do there.
+
+Defined results: null or empty texts and items match nothing; items with a null item_id are numbered
+in the order of their texts, downwards from -1 or from below the least id if that is negative;
+repeated items and repeated rows are each matched (rows alike); an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,6 +34,8 @@ from .common import table
 
 ERROR_RATE, LEAST = 0.08, 24
 BLOCK_BYTES = 8 << 20
+#: Thai, Lao, Tibetan, Myanmar, Khmer; kana, Bopomofo and Han with their extensions.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 SCHEMA = "doc_id long, item_id long, distance long, start long, stop long"
 
 
@@ -70,6 +78,24 @@ def myers(item: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def within_word(text: str, at: int) -> bool:
+    """Whether a word goes on across place ``at``."""
+    if not 0 < at < len(text):
+        return False
+    return all(c.isalnum() and not UNSPACED.match(c) for c in text[at - 1 : at + 1])
+
+
+def differ(a: str, b: str) -> int:
+    """The edits between two texts if at most one, else 2."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > 1:
+        return 2
+    least = min(len(a), len(b))
+    k = next((k for k in range(least) if a[k] != b[k]), least)
+    return 1 if a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :] else 2
+
+
 class Matcher:
     """The items of one block."""
 
@@ -90,10 +116,15 @@ class Matcher:
         if not self.items or not text:
             return []
         spots: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, tuple[int, int, int]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for k, at in places:
                 _, item, most = self.items[k]
                 begin = end + 1 - size - at
+                if len(item) < LEAST and most < 2:
+                    if (best := self.nearest(text, item, begin, most)) and best < short.get(k, (most + 1,)):
+                        short[k] = best
+                    continue
                 a, b = max(0, begin - most), begin + len(item) + most
                 seen = spots.setdefault(k, [])
                 if seen and a <= seen[-1][1]:  # hits come in order, so spans that meet are joined
@@ -108,16 +139,33 @@ class Matcher:
                 d, a, end = min(found, key=lambda f: (f[0], f[2]))
                 back = myers(item[::-1], text[a:end][::-1], d)
                 out.append((i, d, end - back[1], end))
+        out += [(self.items[k][0], d, -a, end) for k, (d, end, a) in sorted(short.items())]
         return out
 
+    @staticmethod
+    def nearest(text: str, item: str, begin: int, most: int) -> tuple[int, int, int] | None:
+        """(distance, end, -start) of the best passage of whole words about ``begin``."""
+        found = []
+        for a in range(max(0, begin - most), begin + most + 1):
+            if within_word(text, a):
+                continue
+            for end in range(a + len(item) - most, min(len(text), a + len(item) + most) + 1):
+                if (d := differ(item, text[a:end])) <= most and not within_word(text, end):
+                    found.append((d, end, -a))
+        return min(found, default=None)
+
 
 def blocks_of(items: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Items as (id, plain text) in blocks; one block at a time is on the driver."""
     rows = items.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
+    least = items.agg(F.min(F.col("item_id").cast("long"))).first()[0]
+    unnamed = min(0, 0 if least is None else least)
     block, held = [], 0
     for i, text in rows:
-        if i is None or len(p := plain(text)) < LEAST:
+        if not (p := plain(text)):
             continue
+        if i is None:
+            i = unnamed = unnamed - 1
         if block and held + len(p.encode()) > size:
             yield block
             block, held = [], 0

@@ -233,6 +233,23 @@ def test_decontaminate(spark, docs):
     assert 50 not in left and 90 in left and dc.contaminated(docs, empty(items)).count() == 0
 
 
+def test_decontaminate_short_and_unnamed(spark):
+    from factlode.llm import decontaminate as dc
+
+    long = "which of these rivers flows through the old capital"
+    items = spark.createDataFrame([(1, "the end?"), (2, "法国的首都是哪里"), (3, "capital of france"), (4, "art"), (None, long), (None, "  "), (5, "")], "item_id long, text string")
+    texts = ["so is THE  end? yes", "the ends", "请问法国的首都是哪里呢", "a capitol of france, too", "acapital of francex", "start", "an art.", f"x {long} y", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, plain_of[r.start : r.stop]) for r in dc.contaminated(docs, items).collect() for plain_of in [dc.plain(texts[r.doc_id])]}
+    assert got == {(0, 1, 0, "the end?"), (2, 2, 0, "法国的首都是哪里"), (3, 3, 1, "capitol of france"), (6, 4, 0, "art"), (7, -1, 0, long)}
+    assert {r.doc_id for r in dc.clean(docs, items).collect()} == {1, 4, 5, 8, 9}
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab") for _ in range(r.randrange(1, 7))) for _ in range(2))
+        near = a == b or any(a[:k] + c + a[k + d :] == b for k in range(len(a) + 1) for c, d in (("", 1), ("a", 0), ("b", 0), ("a", 1), ("b", 1)))
+        assert (dc.differ(a, b) < 2) == near and (dc.differ(a, b) == 0) == (a == b)
+
+
 def test_near_duplicates(docs):
     from factlode.llm.neardup import near_duplicates
 
