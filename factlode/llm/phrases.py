@@ -49,7 +49,7 @@ REMOVED = "doc_id long, text_key long, first long, last long"
 def anchor_runs(data: np.ndarray, offsets: np.ndarray):
     """Words, and the runs of windows with one anchor: (starts, ends, row of each word), first window, window count, anchor."""
     starts, ends, row = tk.words(data, offsets)
-    grams, _ = tk.windows(tk.Spans(data)(starts, ends), row, GRAM)
+    grams, _ = tk.windows(tk.RoughSpans(data)(starts, ends), row, GRAM)
     n = len(starts) - WINDOW + 1
     if n <= 0:
         return (starts, ends, row), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)

@@ -1,4 +1,4 @@
-"""A blocked Bloom filter of 64-bit keys for numpy: fixed size, so it can go to every task.
+"""A blocked Bloom filter of 64-bit keys for numpy: its size is bounded, so it can go to every task.
 
 It only thins out what is exchanged. What it passes is decided exactly afterwards, so a
 filter that fills up costs work and never changes a result."""
@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 4
+#: Blocks of 8 bytes: 32 MB at most, good for some 16 million keys.
+MOST = 1 << 22
+
+
+def sized(keys: int) -> int:
+    """Blocks for so many keys at 16 bits each, a power of two, at most ``MOST``."""
+    return min(MOST, 1 << max(10, (max(1, keys) // 4).bit_length()))
 
 
 def build(keys: DataFrame, column: str, blocks: int) -> np.ndarray:
