@@ -1,17 +1,21 @@
 """Near-duplicate documents: MinHash bands, full-set verification, connected components.
 
 1. One pass turns each text into its set of shingles (64-bit hashes of five lower-cased
-   words), the set's digest, and ``BANDS * ROWS`` minima under universal hash functions,
-   folded to one hash for each band. The digest is the node: equal sets are one node from here
-   on, so a text with thousands of copies is looked at once.
-2. Nodes that share a band's hash are candidates. Each node of a bucket is paired with the
-   bucket's centre only, never with all others, and the pair is verified on the full sets:
-   linked if 100 * intersection >= 75 * union. Centres are chosen by hash, in ``PIVOTS`` ways;
-   a second round pairs what is still apart with centres of other components.
+   words), the set's digest, and ``BANDS * ROWS`` minima under universal hash functions: one
+   key for each band, and one byte of each minimum as signature. The digest is the node: equal
+   sets are one node from here on, so a text with thousands of copies is looked at once.
+2. Nodes that share a band's key are candidates. Keys met by one node only are dropped first
+   (counted exactly, then told by a Bloom filter and a join). Each node of a bucket is paired
+   with the bucket's centre only, never with all others. Pairs whose sizes allow the similarity
+   and whose signatures agree in ``AGREE`` places at least are verified on the full sets: linked
+   if 100 * intersection >= 75 * union. (Of a pair that similar, 96 of the 128 places agree on
+   average; fewer than 64 are eight standard deviations off.) Centres are chosen in ``PIVOTS``
+   ways; a second round pairs what is still apart with centres of other components.
 3. What a star can miss are links between nodes of one bucket that verification left in
    different components. These nodes go through an exact search: a pair that similar shares
-   one of the rarest shingles of each set, rarity counted among them. Only pairs of different
-   components are verified, and added to the links.
+   one of the rarest shingles of each set. Rarity is counted in ``BINS`` bins of hashed
+   shingles at most, which go to every task; any one order of all shingles finds every pair.
+   Only pairs of different components are verified, and added to the links.
 4. Components are found by alternating large-star and small-star steps until the edges no
    longer change; every step is a grouping with partial minima and a join.
 
@@ -28,16 +32,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sieve
 from . import textkit as tk
-from .common import ids_and_text, save, table
+from .common import forget, ids_and_text, save, table
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: Different choices of a bucket's centre.
 PIVOTS = 4
+#: Places of the signature in which a pair must agree to be verified.
+AGREE = BANDS * ROWS // 2
+BINS, BLOCK = 1 << 23, 1 << 12
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -69,12 +78,14 @@ def minima(items: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(items: np.ndarray) -> np.ndarray:
-    rows = (minima(items) >> np.uint64(32)).reshape(BANDS, ROWS)
-    h = np.zeros(BANDS, np.uint64)
+def sketched(items: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A key for each band, and one byte of each minimum."""
+    least = minima(items)
+    rows = (least >> np.uint64(32)).reshape(BANDS, ROWS)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         h = tk.mix(h + rows[:, j] * np.uint64(0x9E3779B97F4A7C15))
-    return h.view(np.int64)
+    return h.view(np.int64), least.astype(np.uint8).tobytes()
 
 
 def digest(items: np.ndarray) -> int | None:
@@ -83,22 +94,53 @@ def digest(items: np.ndarray) -> int | None:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met: set[int] = set()
     for batch in batches:
-        n, nodes, bands = [], [], []
+        met: set[int | None] = {None}
+        n, nodes, keys, signs = [], [], [], []
         for items in shingle_sets(batch.column("text")):
             node = digest(items)
+            key, sign = (None, None) if node in met else sketched(items)
+            met.add(node)
             n.append(len(items))
             nodes.append(node)
-            bands.append(None if node is None or node in met else band_hashes(items))
-            met.add(node)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "at", "n_shingles", "node", "bands"])
+            keys.append(key)
+            signs.append(sign)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+            names=["doc_id", "at", "n_shingles", "node", "keys", "sign"],
+        )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [(digest(s), s.view(np.int64)) for s in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.list_(pa.int64()))], names=["node", "items"])
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the rows whose ``at`` is among ``wanted`` (at), and of a few others that a filter passes.
+
+    Texts are read again, so that no text is moved."""
+    many = wanted.count()
+    sent = docs.sparkSession.sparkContext.broadcast(sieve.build(wanted, "at", sieve.sized(many)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(sieve.holds(sent.value, batch.column("at").to_numpy())))
+            sets = {digest(s): s.view(np.int64) for s in shingle_sets(batch.column("text"))}
+            sets.pop(None, None)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], names=["node", "items"])
+
+    return docs.select("at", "text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+
+
+def promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar enough by size and signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
+            keep = ((x == y).sum(axis=1) >= AGREE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    first = pairs.join(signed.select(F.col("node").alias("a"), "n", F.col("sign").alias("x")), "a")
+    both = first.join(signed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,49 +185,114 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows (band, hash, node, n, component) of the buckets that hold more than one component."""
-    placed = members.select("band", "hash", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band", "hash")
-    return save(placed.join(save(mixed, "mixed"), ["band", "hash"], "left_semi"), "unsettled")
-
-
-def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) of nodes (node, at, n, bands) that yield the components of all similar pairs."""
-    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
-    # The star's centre differs from band to band, so that a node meets several of its kin.
-    by = F.xxhash64("node", F.col("band") % PIVOTS)
-    centre = rows.groupBy("band", "hash").agg(F.min(by).alias("centre"), F.count("*").alias("many")).filter("many > 1")
-    buckets = save(rows.withColumn("centre", by).join(save(centre, "centres"), ["band", "hash", "centre"]).groupBy("band", "hash").agg(F.min("node").alias("b")), "buckets")
-    members = save(rows.join(buckets, ["band", "hash"]).select("band", "hash", "node", "n", "b"), "members")
-    pairs = save(members.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """Rows (key, node, component) of the buckets that hold more than one component."""
+    placed = save(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    mixed = save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
+    out = save(placed.join(mixed, "key", "left_semi"), "unsettled")
+    forget(placed, mixed)
+    return out
+
+
+def _pairs(left: str, right: str) -> list:
+    return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")]
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each bin stand in ``sets`` (node, items), up to 65,535; at most ``BINS`` numbers come to the driver."""
+    total = sets.agg(F.sum(F.size("items"))).first()[0] or 0
+    bins = min(BINS, 1 << max(16, int(total).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(bins, np.uint32)
+        for batch in batches:
+            items = batch.column("items").flatten().to_numpy().view(np.uint64)
+            met += np.bincount((items & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint32)
+        for k in np.flatnonzero(met.reshape(-1, BLOCK).any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(met[k * BLOCK : (k + 1) * BLOCK], 65535).astype("<u2").tobytes()], pa.binary())], names=["block", "met"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        met = sum(np.frombuffer(x, "<u2").astype(np.uint64) for x in rows["met"].to_pylist())
+        return pa.table({"block": rows["block"][:1], "met": pa.array([np.minimum(met, 65535).astype("<u2").tobytes()], pa.binary())})
+
+    got = sets.select("items").mapInArrow(run, "block int, met binary").groupBy("block").applyInArrow(add, "block int, met binary").toArrow()
+    out = np.zeros(bins, np.uint16)
+    for k, met in zip(got["block"].to_pylist(), got["met"].to_pylist(), strict=True):
+        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(met, "<u2")
+    return out
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """The rarest shingles of each set of ``sets`` (node, component, items), with their rank.
+
+    The larger set of a pair shows one of its n - ceil(0.75 n) + 1 rarest shingles; the smaller one
+    need only show its n - ceil(6/7 n) + 1 rarest (``short``), since the overlap is at least 6/7 of it."""
+    sent = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+    schema = "item long, node long, n long, component long, at long, short boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = sent.value
+        for batch in batches:
+            for node, component, items in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("items"), strict=True):
+                x = items.values.to_numpy()
+                n = len(x)
+                keep = n - -(-n * PERCENT // 100) + 1
+                short = n - -(-n * 2 * PERCENT // (100 + PERCENT)) + 1
+                rare = x[np.lexsort((x, met[(x.view(np.uint64) & np.uint64(len(met) - 1)).astype(np.int64)]))][:keep]
+                at = np.arange(1, len(rare) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(rare), *(pa.array(np.full(len(rare), v, np.int64)) for v in (node, n, component)), pa.array(at), pa.array(at <= short)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return sets.select("node", "component", "items").mapInArrow(run, schema)
+
+
+def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) of the nodes of ``sketch`` that yield the components of all similar pairs."""
+    context = docs.sparkSession.sparkContext
+    rows = sketch.filter("keys IS NOT NULL")
+    met = rows.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    shared = save(met.filter("lo <> hi").select("key"), "shared")
+    sent = context.broadcast(sieve.build(shared, "key", sieve.sized(shared.count())))
+
+    def may_share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy()
+            keep = sieve.holds(sent.value, keys)
+            nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes[keep])], names=["key", "node"])
+
+    members = save(rows.select("node", "keys").mapInArrow(may_share, "key long, node long").join(shared, "key", "left_semi").distinct(), "members")
+    # The star's centre differs from key to key, so that a node meets several of its kin.
+    turn = F.xxhash64(F.pmod("key", F.lit(PIVOTS)))
+    centre = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("b")).select("key", F.col("b").bitwiseXOR(turn).alias("b"))
+    nodes = save(members.select("node").distinct(), "met")
+    signed = save(sketch.filter("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sign").join(nodes, "node", "left_semi").distinct(), "signed")
+    pairs = save(promising(members.join(centre, "key").filter("node <> b").select(*_pairs("node", "b")).distinct(), signed), "pairs")
     # One row of each node is read again: ``at`` tells apart rows of one doc_id with different texts.
-    rows_of = nodes.select("node", "at").join(wanted, "node", "left_semi").select("at").distinct()
-    sets = save(docs.join(rows_of, "at", "left_semi").select("text").mapInArrow(_sets, "node long, items array<long>").dropDuplicates(["node"]), "sets")
+    rows_of = save(sketch.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
+    sets = save(sets_of(docs, rows_of), "sets")
     star = save(verified(pairs, sets), "star")
     # Once more, only for what is still apart: nodes against centres of other components.
-    met = unsettled(members, components(star))
-    chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", "band")) for k in range(PIVOTS)]
-    centres = save(met.groupBy("band", "hash").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("band", "hash", F.inline("centres")), "centres")
-    across = met.join(centres, ["band", "hash"]).filter("component <> c").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    second = save(across.join(pairs, ["a", "b"], "left_anti"), "second")
+    apart = unsettled(members, components(star))
+    chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(PIVOTS)]
+    centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("key", F.inline("centres")), "centres")
+    across = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
+    second = save(promising(across.join(pairs, ["a", "b"], "left_anti"), signed), "second")
     star = save(star.unionByName(verified(second, sets)), "star")
     pairs = pairs.unionByName(second)
-    open_nodes = save(unsettled(members, components(star)).select("node", "n", "component").distinct(), "open")
-    rare = open_nodes.join(sets, "node").select("node", "n", "component", F.explode("items").alias("item"))
-    df = save(rare.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")), "df")
-    order = Window.partitionBy("node").orderBy("df", "item")
-    # The larger set of a pair shows one of its n - ceil(0.75 n) + 1 rarest shingles; the smaller one
-    # need only show its n - ceil(6/7 n) + 1 rarest, since the overlap is at least 6/7 of it.
+    left = save(unsettled(members, components(star)).select("node", "component").distinct(), "left")
+    still = save(sets.join(left, "node"), "still")
+    prefix = save(prefixes(still), "prefix")
+    spread = prefix.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("item")
+    prefix = save(prefix.join(spread, "item", "left_semi"), "prefix")
     n = F.col("n")
-    placed = rare.join(df, "item").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= n - F.ceil(n * PERCENT / 100) + 1)
-    prefix = save(placed.filter("lo <> hi").withColumn("short", F.col("at") <= n - F.ceil(n * (2 * PERCENT) / (100 + PERCENT)) + 1).select("item", "node", "n", "component", "at", "short"), "prefix")
     other = prefix.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("at").alias("to"))
     larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
     # At the first item two sets share, what follows it in each must still hold the overlap they need.
     room = (100 + PERCENT) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= PERCENT * (n + F.col("m"))
-    more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m")) & room).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    return star.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), sets))
+    more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m")) & room).select(*_pairs("node", "b")).distinct()
+    third = save(promising(more.join(pairs, ["a", "b"], "left_anti"), signed), "third")
+    out = save(star.unionByName(verified(third, sets)), "links")
+    forget(shared, members, nodes, signed, rows_of, sets, centres, left, still, prefix, apart)
+    return out
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -196,9 +303,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, at, n_shingles, component (null for an empty set) and component_id, its least doc_id, of every document."""
     source = _rows(docs)
-    sketch = save(source.select("doc_id", "at", "text").mapInArrow(_sketch, "doc_id long, at long, n_shingles long, node long, bands array<long>"), "sketch")
-    nodes = save(sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("at").alias("at"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.max("bands").alias("bands")), "nodes")
-    found = components(links(nodes, source))
+    sketch = save(source.select("doc_id", "at", "text").mapInArrow(_sketch, "doc_id long, at long, n_shingles long, node long, keys array<long>, sign binary"), "sketch")
+    nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    found = components(links(sketch, source))
     placed = save(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = save(placed.join(least, "component").select("node", "component", "component_id"), "of_node")
@@ -226,7 +333,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = save(shared.select("doc_id", "at", "many", stays.alias("stays")).filter("NOT stays OR many > 1"), "marked")
     names = docs.columns
     source = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__at": F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
-    same = lambda m: source["__id"].eqNullSafe(m["doc_id"]) & (source["__at"] == m["at"])
+    # Most rows are not marked; a filter tells them, and they stay where they are.
+    sent = spark.sparkContext.broadcast(sieve.build(marked, "at", sieve.sized(marked.count())))
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        return pd.Series(sieve.holds(sent.value, at.to_numpy()))
+
+    hit = source.filter(maybe("__at"))
+    same = lambda m: hit["__id"].eqNullSafe(m["doc_id"]) & (hit["__at"] == m["at"])
     repeated = marked.filter("stays")
-    one = source.join(repeated, same(repeated), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__at").orderBy("__at"))).filter("__n = 1")
-    return source.join(marked, same(marked), "left_anti").select(*names).unionByName(one.select(*names))
+    one = hit.join(repeated, same(repeated), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__at").orderBy("__at"))).filter("__n = 1")
+    rest = hit.join(marked, same(marked), "left_anti")
+    return source.filter(~maybe("__at")).select(*names).unionByName(rest.select(*names)).unionByName(one.select(*names))
