@@ -9,7 +9,7 @@
    with the bucket's centre only, never with all others. Pairs whose sizes allow the similarity
    and whose signatures agree in ``AGREE`` places at least are verified on the full sets: linked
    if 100 * intersection >= 75 * union. (Of a pair that similar, 96 of the 128 places agree on
-   average; fewer than 64 are eight standard deviations off.) Centres are chosen in ``PIVOTS``
+   average; fewer than 72 are five standard deviations off.) Centres are chosen in ``PIVOTS``
    ways; a second round pairs what is still apart with centres of other components.
 3. What a star can miss are links between nodes of one bucket that verification left in
    different components. These nodes go through an exact search: a pair that similar shares
@@ -44,8 +44,10 @@ from .common import forget, ids_and_text, save, table
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: Different choices of a bucket's centre.
 PIVOTS = 4
+#: Centres of other components that a node meets in each bucket of the second round.
+SECOND = 2
 #: Places of the signature in which a pair must agree to be verified.
-AGREE = BANDS * ROWS // 2
+AGREE = 72
 BINS, BLOCK = 1 << 23, 1 << 12
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -272,7 +274,7 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     star = save(verified(pairs, sets), "star")
     # Once more, only for what is still apart: nodes against centres of other components.
     apart = unsettled(members, components(star))
-    chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(PIVOTS)]
+    chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(SECOND)]
     centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("key", F.inline("centres")), "centres")
     across = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
     second = save(promising(across.join(pairs, ["a", "b"], "left_anti"), signed), "second")
