@@ -4,7 +4,7 @@ A window is ``WINDOW`` consecutive words. Its anchor is the least hash of the ``
 strings in it, so equal windows have equal anchors wherever they stand.
 
 1. *Anchors.* Each document emits its anchors; those of two or more documents recur. Only
-   these can belong to recurring windows. They go to every task as Bloom filter of fixed size.
+   these can belong to recurring windows. They go to every task as Bloom filter of bounded size.
 2. *Segments.* Each run of windows with one recurring anchor is emitted with its words, dealt
    by anchor, so that all occurrences of a window meet.
 3. *Confirmation.* In each shard, windows that stand in two or more documents are confirmed,
@@ -40,8 +40,8 @@ from . import textkit as tk
 from .common import ids_and_text, save, table
 
 WINDOW, GRAM = 13, 5
-BLOCKS, HOT_BLOCKS = 1 << 21, 1 << 17
-HOT, SALTS, SHARD = 500, 64, 4000
+#: An anchor with so many occurrences still fits a shard: some 2 MB of segments.
+HOT, SALTS, SHARD = 20_000, 64, 4000
 SEGMENT = "shard long, salt int, hot boolean, anchor long, doc_id long, text_key long, first long, words string"
 REMOVED = "doc_id long, text_key long, first long, last long"
 
@@ -192,7 +192,8 @@ def removed_spans(source: DataFrame) -> DataFrame:
     total = anchors.agg(F.sum("many")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(4 * parts, total // SHARD)
-    recur, hot = sieve.build(anchors, "anchor", BLOCKS), sieve.build(anchors.filter(F.col("many") > HOT), "anchor", HOT_BLOCKS)
+    busy = anchors.filter(F.col("many") > HOT)
+    recur, hot = (sieve.build(x, "anchor", sieve.sized(x.count())) for x in (anchors, busy))
     found = segments(known, recur, hot, shards)
 
     def cold(rows: pa.Table) -> pa.Table:

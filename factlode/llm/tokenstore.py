@@ -41,20 +41,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import ids_and_text, shared_dir, table
 
 END_ID = 0
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 KEY = 16
 CACHE = 400_000
-#: Marks that, after letters, are a token group of their own.
-MARKS = ".,;:!?"
-LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Bytes of text encoded at a time.
+PART = 4 << 20
 POOL = "kind string, key binary, doc_id long, n long, body binary, sizes binary"
 RECIPES = "doc_id long, n_tokens long, recipe binary, sizes binary, root binary, part int, start_in_part long, upto binary"
 MANIFEST = "part int, part_start long, n_tokens long, n_docs long, root binary"
 #: White space next to white space, or white space other than a space or a newline.
 ODD = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85᠎​﻿]")
+#: Bytes that part pieces, and bytes that ODD's other characters hold.
+SEPARATOR = np.isin(np.arange(256), [0x20, 0x0A])
+MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+DOUBT = np.isin(np.arange(256), [0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0xE1, 0xE2, 0xE3, 0xEF])
 _GEAR = np.random.default_rng(20240917).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 
 
@@ -62,95 +67,99 @@ class Encoder:
     """The tokenizers library, asked once for each piece of text that recurs.
 
     The file's byte-level rule never joins across a space or newline that stands alone
-    between other characters; there a text is cut, a space going with what follows. Texts
-    with other white space are encoded whole."""
+    between other characters; there a text is cut, each piece with the separator before it. A
+    block's pieces are told apart by Arrow, so Python sees each different one once. Texts with
+    other white space are encoded whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0]
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
-        self.end = np.array([END_ID], self.kind).tobytes()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, words: list[str]) -> None:
-        """Ids of " word" for words of letters only, each of which the rule keeps whole: encoded end to end."""
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
-            e = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            of = np.array(e.word_ids)
-            cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-            if len(cut) != len(part) + 1:
-                self.later.update(zip(part, self._ids([" " + w for w in part]), strict=True))
-                continue
-            ids, size = np.array(e.ids, self.kind).tobytes(), self.kind.itemsize
-            self.later.update(zip(part, [ids[x * size : y * size] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
-
-    def _learn(self, first: set[str], later: set[str]) -> None:
-        if len(self.first) + len(first) > CACHE:
-            self.first.clear()
-        new = list(first.difference(self.first))
-        self.first.update(zip(new, self._ids(new), strict=True))
-        words, marked, rest = set(), [], []
-        for p in later:
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u4" if size > 1 << 16 else "<u2")
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        # Tokens that begin with a space, and the newline: the first of each piece.
+        self.opens = {b" ": np.zeros(size, bool), b"\n": np.zeros(size, bool)}
+        for token, k in self.tokenizer.get_vocab().items():
+            self.opens[b" "][k] = token.startswith("\u0120")
+        self.opens[b"\n"][np.frombuffer(self._ids([b"\n"])[0], self.kind)] = True
+
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        return [x.tobytes() for x in self._encoded(texts)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces with the same separator are encoded end to end and parted where tokens begin with it."""
+        new = []
+        for p in pieces:
             if (ids := self.older.get(p)) is not None:
-                self.later[p] = ids
-            elif not (m := LETTERS.fullmatch(p)):
-                rest.append(p)
-            elif m[2]:
-                marked.append((p, m[1], m[2]))
-                words.add(m[1])
+                self.known[p] = ids
             else:
-                words.add(p)
-        self._spaced(list(words.difference(self.later)))
-        self.later.update(zip(rest, self._ids([" " + p for p in rest]), strict=True))
-        for p, word, mark in marked:
-            self.later[p] = self.later[word] + self.marks[mark]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text and the end id."""
-        if len(self.later) > CACHE:
-            # What is asked for again comes back from the older half; the rest goes with it.
-            self.older, self.later = self.later, {}
-        cut: list[list[list[str]] | None] = []
-        for t in texts:
-            lines = t.split("\n")
-            # Only spaces and newlines, none next to another.
-            plain = "".join(lines).isprintable() and not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t)
-            cut.append([line.split(" ") for line in lines] if plain or not ODD.search(t) else None)
-        known: list[list[bytes | None]] = []
-        lacking: set[str] = set()
-        for lines in cut:
-            for line in lines or ():
-                got = list(map(self.later.get, line))
-                got[0] = b""
-                if None in got:
-                    lacking.update([w for w, ids in zip(line, got, strict=True) if ids is None])
-                known.append(got)
-        self._learn({line[0] for lines in cut if lines for line in lines}, lacking)
-        whole = iter(self._ids([t for t, lines in zip(texts, cut, strict=True) if lines is None]))
-        out, done = [], iter(known)
-        for lines in cut:
-            parts: list[bytes] = []
-            if lines is None:
-                parts.append(next(whole))
-            for k, line in enumerate(lines or ()):
-                if k:
-                    parts.append(self.newline)
-                parts.append(self.first[line[0]])
-                got = next(done)
-                parts += map(self.later.__getitem__, line[1:]) if None in got else got
-            parts.append(self.end)
-            out.append(np.frombuffer(b"".join(parts), self.kind))
+                new.append(p)
+        for mark, opens in self.opens.items():
+            some = [p for p in new if p[:1] == mark]
+            for a in range(0, len(some), 2048):
+                part = some[a : a + 2048]
+                ids = self._encoded([b"".join(part)])[0]
+                at = np.flatnonzero(opens[ids])
+                if len(at) == len(part):
+                    raw, edges = ids.tobytes(), [*(at * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+                    self.known.update(zip(part, [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)], strict=True))
+                else:
+                    self.known.update(zip(part, self._ids(part), strict=True))
+        rest = [p for p in new if p[:1] not in self.opens]
+        self.known.update(zip(rest, self._ids(rest), strict=True))
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the pieces (of odd rows, the row), first piece of each row, and which rows are odd."""
+        rows = len(offsets) - 1
+        mark = SEPARATOR[data]
+        doubled = np.flatnonzero(mark[1:] & mark[:-1])
+        row = np.searchsorted(offsets, doubled, side="right") - 1
+        odd = np.zeros(rows, bool)
+        odd[row[doubled + 1 < offsets[row + 1]]] = True
+        doubt = np.zeros(rows, bool)
+        doubt[np.searchsorted(offsets, np.flatnonzero(DOUBT[data]), side="right") - 1] = True
+        for k in np.flatnonzero(doubt & ~odd):
+            odd[k] = bool(ODD.search(data[offsets[k] : offsets[k + 1]].tobytes().decode()))
+        at = np.flatnonzero(mark)
+        at = at[~odd[np.searchsorted(offsets, at, side="right") - 1]]
+        # A mark between a letter and a separator is a piece too.
+        dots = np.flatnonzero(MARK[data[1:-1]] & LETTER[data[:-2]] & mark[2:]) + 1
+        row = np.searchsorted(offsets, dots, side="right") - 1
+        dots = dots[~odd[row] & (dots > offsets[row]) & (dots + 1 < offsets[row + 1])]
+        # A row's first piece begins with the row, even if empty.
+        key = np.sort(np.concatenate([2 * offsets[:-1], 2 * at + 1, 2 * dots + 1]))
+        return key >> 1, np.flatnonzero(key & 1 == 0), odd
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: empty) and the end id."""
+        out: list[np.ndarray] = []
+        for _, _, data, offsets in tk.blocks(column, PART):
+            if len(self.known) > CACHE:
+                # What is asked for again comes back from the older half; the rest goes with it.
+                self.older, self.known = self.known, {}
+            starts, first, odd = self._pieces(data, offsets)
+            edges = np.append(starts, len(data)).astype(np.int64)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            words = pieces.dictionary.to_pylist()
+            whole = set(np.unique(pieces.indices.to_numpy()[first[odd]]).tolist())
+            self._learn([w for k, w in enumerate(words) if w not in self.known and k not in whole])
+            ids = [self.known.get(w, b"") for w in words]
+            for k, x in zip(whole, self._ids([words[k] for k in whole]), strict=True):
+                ids[k] = x
+            ids.append(np.array([END_ID], self.kind).tobytes())
+            # Pieces in order, with the end id after each row's last.
+            order = np.insert(pieces.indices.to_numpy().astype(np.int64), np.append(first[1:], len(starts)), len(words))
+            size = np.array([len(x) for x in ids]) // self.kind.itemsize
+            pool, begin, many = np.frombuffer(b"".join(ids), self.kind), np.cumsum(size) - size, size[order]
+            ends = np.cumsum(many)
+            stream = pool[np.repeat(begin[order] - ends + many, many) + np.arange(int(ends[-1]))]
+            out += np.split(stream, ends[order == len(words)][:-1])
         return out
 
 
@@ -215,14 +224,10 @@ def pool(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, met = encoder(path), set()
         for batch in batches:
-            ids, texts, a = batch.column("doc_id"), batch.column("text"), 0
-            while a < len(texts):
-                part, b = [], a
-                while b < len(texts) and (not part or sum(map(len, part)) < 1 << 20) and b - a < 1000:
-                    part.append(texts[b].as_py() or "")
-                    b += 1
+            ids = batch.column("doc_id")
+            for a, b, *_ in tk.blocks(batch.column("text"), PART):
                 rows = []
-                streams = use(part)
+                streams = use(batch.column("text").slice(a, b - a))
                 for k, (stream, ends) in enumerate(zip(streams, cuts(streams), strict=True)):
                     keys, sizes, last = [], [], 0
                     for end in ends:
@@ -235,7 +240,6 @@ def pool(docs: DataFrame, path: str) -> DataFrame:
                             rows.append(("chunk", key, None, sizes[-1], body, None))
                     rows.append(("recipe", merkle(keys), ids[a + k].as_py(), len(stream), b"".join(keys), np.array(sizes, "<u4").tobytes()))
                 yield _records(rows)
-                a = b
 
     return ids_and_text(docs).mapInArrow(run, POOL)
 
