@@ -11,8 +11,8 @@ text, the rest is NFC-normalised and lower-cased, split by the file's pattern, a
 to byte symbols with a word-end mark. White space is dropped and decoding joins the tokens
 with one space, as the file names no decoder.
 
-A worker keeps two bounded caches (pieces between white space, and words), which are
-emptied when full, so memory does not grow with the corpus.
+A worker keeps two bounded caches (pieces between white space, and words). When one is full its
+older half goes, but for what is asked for again, so memory does not grow with the corpus.
 
 Defined results: a null or empty text has no tokens and empty strings; repeated rows give
 equal results; further columns are ignored.
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ids_and_text, table
 
-CACHE = 400_000
+#: Entries of a cache's newer half.
+CACHE = 100_000
 NONE = np.int64(1) << 60
 #: Characters that str.split() takes as white space and Unicode does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
@@ -145,6 +146,7 @@ class Codec:
         self.last = [vocab[s + self.end] for s in symbols]
         self.words: dict[int | str, tuple[str, str]] = {}
         self.pieces: dict[str, tuple[str, str]] = {}
+        self.old_words, self.old_pieces = self.words, self.pieces
 
     def _symbols(self, word: str) -> list[int]:
         b = word.encode()
@@ -166,13 +168,23 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode what the caches lack, all at once."""
-        if len(self.pieces) + len(pieces) > CACHE:
-            self.pieces.clear()
+        if len(self.pieces) > CACHE:
+            self.old_pieces, self.pieces = self.pieces, {}
         if len(self.words) > CACHE:
-            self.words.clear()
+            self.old_words, self.words = self.words, {}
         known = self.words
-        new = {p: self._parts(p) for p in pieces.difference(self.pieces)}
-        lacking = list({w for parts in new.values() for w in parts}.difference(known))
+        new = {}
+        for p in pieces.difference(self.pieces):
+            if (got := self.old_pieces.get(p)) is not None:
+                self.pieces[p] = got
+            else:
+                new[p] = self._parts(p)
+        lacking = []
+        for w in {w for parts in new.values() for w in parts}.difference(known):
+            if (got := self.old_words.get(w)) is not None:
+                known[w] = got
+            else:
+                lacking.append(w)
         symbols = [[w] if isinstance(w, int) else self._symbols(w) for w in lacking]
         for w, ids in zip(lacking, self.merge(symbols), strict=True):
             known[w] = " ".join(map(str, ids)), self.decode(ids)

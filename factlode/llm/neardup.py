@@ -208,7 +208,8 @@ def rarity(sets: DataFrame) -> np.ndarray:
         met = np.zeros(bins, np.uint32)
         for batch in batches:
             items = batch.column("items").flatten().to_numpy().view(np.uint64)
-            met += np.bincount((items & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint32)
+            at, n = np.unique((items & np.uint64(bins - 1)).astype(np.uint32), return_counts=True)
+            met[at] += n.astype(np.uint32)
         for k in np.flatnonzero(met.reshape(-1, BLOCK).any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(met[k * BLOCK : (k + 1) * BLOCK], 65535).astype("<u2").tobytes()], pa.binary())], names=["block", "met"])
 

@@ -1,17 +1,20 @@
 """Personal data: base patterns, and boosted trees over high-recall candidates.
 
-Generators propose overlapping spans of four kinds, with far looser patterns than the base:
-spelled-out ``[at]`` and ``(dot)``, numbers without a plus sign, other separators. Boosted
-trees score each candidate by its format and its context; a candidate is chosen if its score
-reaches its kind's threshold and it overlaps no base span and no better candidate. Base spans
-always stay.
+Generators propose overlapping spans of five kinds, with far looser patterns than the base:
+spelled-out ``[at]`` and ``(dot)``, numbers without a plus sign, other separators, and long runs
+of letters and digits that may be secrets (keys, tokens). Boosted trees score each candidate by
+its format and its context; a candidate is chosen if its score reaches its kind's threshold and
+it overlaps no base span and no better candidate. Base spans always stay.
 
 The trees are fitted here on a bounded sample of documents that hold candidates (at most
-``TRAIN_DOCS``, those with the smallest hashed ids, with at most ``EXAMPLES`` of each): candidates that are base spans are
-positive, also rewritten in the looser formats; candidates that the base rules refuse, like
-numbers that fail their check digit, are negative. A kind's threshold is the lowest score
-from which, on documents left out of the fit, ``PRECISION`` of the candidates are positive; a
-kind without such a score adds nothing. Every document is then searched whole.
+``TRAIN_DOCS`` different ones, those with the smallest hashes, with at most ``EXAMPLES`` candidates
+of each). Candidates that are base spans are positive, also rewritten in the looser formats;
+candidates that the base rules refuse, like numbers that fail their check digit, are negative.
+Secrets have no base rule: runs that something like ``token =`` stands before are positive, others
+negative, and as the trees see only the run's own form they find those without such a word too.
+A kind's threshold is the lowest score from which, on documents left out of the fit,
+``PRECISION`` of the candidates are positive; a kind without such a score adds nothing. Every
+document is then searched whole, in time that grows with its length.
 
 Defined results: a null or empty text has no spans; repeated rows are judged alike; an empty
 table gives no rows; with no candidates to learn from only base spans are found; further
@@ -33,20 +36,26 @@ from pyspark.sql import functions as F
 from .common import ids_and_text, table
 
 KINDS = ("email", "ip", "card", "phone")
+ALL = (*KINDS, "secret")
+USER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+SITE = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)"),
+    # A run of digits is tried from its start only, and never given back: no other try could fit.
+    "ip": re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 DOT = r"(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\x20dot\x20)"
+AT = re.compile(r"@|\x20?\[at\]\x20?|\x20?\(at\)\x20?|\x20at\x20")
+LOOSE_SITE = re.compile(r"[A-Za-z0-9-]++(?:" + DOT + r"[A-Za-z0-9-]++)+")
 GENERATORS = (
-    (("email",), re.compile(r"[A-Za-z0-9._%+-]+(?:@|\x20?\[at\]\x20?|\x20?\(at\)\x20?|\x20at\x20)[A-Za-z0-9-]+(?:" + DOT + r"[A-Za-z0-9-]+)+")),
     (("ip",), re.compile(r"[0-9]{1,4}(?:\x20?[.,]\x20?[0-9]{1,4}){3}")),
     (("card", "phone"), re.compile(r"\+?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){6,24}")),
+    (("secret",), re.compile(r"[A-Za-z0-9_+/-]{20,}+")),
 )
+NAMED = re.compile(r"(?i)(?:token|secret|passw|key|auth)[a-z0-9_]{0,12}[\"']?\s?[=:]\s?[\"']?$")
 HINT = re.compile(r"[0-9@]|\[at\]|\(at\)|\x20at\x20")
-TRAIN_DOCS, EXAMPLES, PRECISION, CONTEXT = 4000, 500, 0.98, 24
+TRAIN_DOCS, EXAMPLES, PRECISION, CONTEXT = 4000, 50, 0.98, 24
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 24
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 Span = tuple[int, int, str]
@@ -64,11 +73,27 @@ def _octets(parts: tuple[str, ...]) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in parts)
 
 
+def addresses(text: str, marks: re.Pattern, site: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost, non-overlapping runs of ``USER`` characters, a mark and a site: found from the marks, so that a long run is read once."""
+    done = since = 0
+    for m in marks.finditer(text):
+        if m.start() >= done:
+            user = text[max(done, since) : m.start()]
+            start = m.start() - (len(user) - len(user.rstrip(USER)))
+            if start < m.start() and (s := site.match(text, m.end())):
+                yield start, s.end()
+                done = s.end()
+        since = m.end()
+
+
+ONLY_AT = re.compile("@")
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the base rules, by start and kind."""
     out: list[Span] = []
     if "@" in text:
-        out += [(m.start(), m.end(), "email") for m in BASE["email"].finditer(text)]
+        out += [(a, b, "email") for a, b in addresses(text, ONLY_AT, SITE)]
     out += [(m.start(), m.end(), "ip") for m in BASE["ip"].finditer(text) if _octets(m.groups())]
     for m in BASE["card"].finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
@@ -78,11 +103,12 @@ def base_spans(text: str) -> list[Span]:
         for m in BASE["phone"].finditer(text):
             if 9 <= sum("0" <= c <= "9" for c in m.group()) <= 15:
                 out.append((m.start(), m.end(), "phone"))
-    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+    return sorted(out, key=lambda s: (s[0], ALL.index(s[2])))
 
 
 def candidates(text: str) -> list[Span]:
-    return [(m.start(), m.end(), k) for kinds, p in GENERATORS for m in p.finditer(text) for k in kinds]
+    out = [(a, b, "email") for a, b in addresses(text, AT, LOOSE_SITE)]
+    return out + [(m.start(), m.end(), k) for kinds, p in GENERATORS for m in p.finditer(text) for k in kinds]
 
 
 def _class(c: str) -> int:
@@ -96,11 +122,12 @@ def features(text: str, span: Span) -> list[float]:
     digits = re.sub("[^0-9]", "", s)
     runs = re.findall("[0-9]+", s)
     return [
-        KINDS.index(kind), len(s), len(digits), len(runs), max(map(len, runs), default=0), len(runs[0]) if runs else 0, len(runs[-1]) if runs else 0,
+        ALL.index(kind), len(s), len(digits), len(runs), max(map(len, runs), default=0), len(runs[0]) if runs else 0, len(runs[-1]) if runs else 0,
         s.count(" "), s.count("-"), s.count("."), s.count("("), s.count("/"), s.startswith("+"), "@" in s, "at" in s and "@" not in s,
         12 <= len(digits) <= 19 and luhn(digits), len(runs) == 4 and _octets(tuple(runs)), len(re.split(DOT, s)[-1]),
         _class(before[-1:]), _class(after[:1]), sum(c.isdigit() for c in before), sum(c.isdigit() for c in after),
-        sum(c in "#*$%&|=\"'" for c in before), bool(re.search("(?i)tel|phone|call|fax|mail|card|visa|addr", before)),
+        len(set(s)), sum(c.isupper() for c in s), len(re.findall("[0-9][A-Za-z]|[A-Za-z][0-9]", s)), re.fullmatch("[0-9a-f]+", s) is not None,
+        kind != "secret" and sum(c in "#*$%&|=\"'" for c in before), bool(re.search("(?i)tel|phone|call|fax|mail|card|visa|addr", before)),
     ]
 
 
@@ -137,6 +164,8 @@ def examples(text: str) -> list[tuple[list[float], bool]]:
     for c in candidates(text):
         if c in known:
             out.append((features(text, c), True))
+        elif c[2] == "secret":
+            out.append((features(text, c), bool(NAMED.search(text[max(0, c[0] - CONTEXT) : c[0]]))))
         elif c[:2] in spans or 1 not in taken[c[0] : c[1]]:
             out.append((features(text, c), False))
     for span in base:
@@ -205,7 +234,7 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees | None:
         total += leaf[r][node]
     out = Trees(bias, feature, cut, leaf, {})
     score, truth, kind = out.score(x[held]), y[held], x[held, 0].astype(int)
-    for k, name in enumerate(KINDS):
+    for k, name in enumerate(ALL):
         order = np.argsort(-score[kind == k], kind="stable")
         s, right = score[kind == k][order], np.cumsum(truth[kind == k][order])
         good = np.flatnonzero((right >= PRECISION * np.arange(1, len(s) + 1)) & (np.append(s[1:], -1) < s))
@@ -214,22 +243,26 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees | None:
 
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Trees | None:
-    """Fit on at most ``limit`` documents; only their labelled candidates come to the driver."""
-    some = ids_and_text(docs).filter(F.col("text").rlike("[0-9]{2}|@")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    """Fit on at most ``limit`` different documents; only their labelled candidates come to the driver."""
+    hashed = ids_and_text(docs).withColumn("at", F.xxhash64("doc_id", "text"))
+    hint = F.col("text").rlike("[0-9]{2}|@")
+    last = hashed.filter(hint).select("at").distinct().orderBy("at").limit(limit).agg(F.max("at")).first()[0]
+    if last is None:
+        return None
+    some = hashed.filter(hint & (F.col("at") <= last)).dropDuplicates(["at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i or 0, f, y) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for f, y in examples(t)[:EXAMPLES]]
+            rows = [(i, f, y) for i, t in zip(batch.column("at").to_pylist(), batch.column("text").to_pylist(), strict=True) for f, y in examples(t)[:EXAMPLES]]
             if rows:
-                ids, f, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([[float(v) for v in r] for r in f], pa.list_(pa.float64())), pa.array(y)], names=["doc_id", "x", "y"])
+                at, f, y = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([[float(v) for v in r] for r in f], pa.list_(pa.float64())), pa.array(y)], names=["at", "x", "y"])
 
-    got = some.mapInArrow(run, "doc_id long, x array<double>, y boolean").toPandas()
+    got = some.select("at", "text").mapInArrow(run, "at long, x array<double>, y boolean").toPandas()
     if not len(got):
         return None
-    got = got.assign(key=got.x.map(tuple)).sort_values(["doc_id", "key", "y"])
-    held = got.doc_id.map(lambda i: int(hashlib.md5(str(i).encode()).hexdigest(), 16) % 5 == 0).to_numpy()
-    return fit(np.stack(got.x.to_numpy()), got.y.to_numpy(bool), held)
+    got = got.assign(key=got.x.map(tuple)).sort_values(["at", "key", "y"])
+    return fit(np.stack(got.x.to_numpy()), got.y.to_numpy(bool), (got["at"] % 5 == 0).to_numpy())
 
 
 def find(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:
@@ -247,7 +280,7 @@ def find(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:
             if score[k] >= trees.thresholds[kind] and 1 not in taken[a:b]:
                 more.append(found[k])
                 taken[a:b] = b"\1" * (b - a)
-    return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2])))
+    return base, sorted([*base, *more], key=lambda s: (s[0], ALL.index(s[2])))
 
 
 def written(spans: list[Span]) -> str:

@@ -443,4 +443,6 @@ def byte_vocabulary() -> str:
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_store(table(spark, sf_dir, "documents"), byte_vocabulary(), to)
+    if wrong := verify_manifest(spark, to).collect():
+        raise ValueError(f"recipes of parts {[r.part for r in wrong]} do not match the manifest")
     return checksums(spark, to)
