@@ -47,7 +47,7 @@ from .common import ids_and_text, shared_dir, table
 END_ID = 0
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
 KEY = 16
-CACHE = 400_000
+CACHE = 300_000
 #: Bytes of text encoded at a time.
 PART = 4 << 20
 POOL = "kind string, key binary, doc_id long, n long, body binary, sizes binary"
