@@ -15,8 +15,10 @@ operating_profit, net_profit, total_assets, total_liabilities, current_assets, c
 operating_cf, investing_cf_out, eps, coalesce(total_equity, total_assets - total_liabilities) AS equity,
 AVG(total_assets) OVER w AS avg_total_assets, AVG(coalesce(total_equity, total_assets - total_liabilities)) OVER w AS avg_equity,
 AVG(inventory) OVER w AS avg_inventory, AVG(receivables) OVER w AS avg_receivables,
-lag(revenue) OVER p AS prev_revenue, lag(net_profit) OVER p AS prev_net_profit, total_assets / 1000.0e0 AS price, total_assets / 2000.0e0 AS bvps
-FROM annual a WINDOW w AS (PARTITION BY symbol ORDER BY year ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), p AS (PARTITION BY symbol ORDER BY year)"""
+lag(revenue) OVER p AS prev_revenue, lag(net_profit) OVER p AS prev_net_profit, price,
+coalesce(total_equity, total_assets - total_liabilities) / nullif(net_profit / nullif(eps, 0), 0) AS bvps, revenue / nullif(net_profit / nullif(eps, 0), 0) AS rps
+FROM annual a LEFT JOIN (SELECT symbol, year, close AS price FROM (SELECT symbol, CAST(year(day) AS INT) + 23 AS year, close, row_number() OVER (PARTITION BY symbol, year(day) ORDER BY day DESC) AS pn FROM prices) z WHERE pn = 1) yp ON yp.symbol = a.symbol AND yp.year = a.year
+WINDOW w AS (PARTITION BY a.symbol ORDER BY a.year ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), p AS (PARTITION BY a.symbol ORDER BY a.year)"""
 
 
 def formula_input(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +28,12 @@ def formula_input(spark: SparkSession, d: str) -> DataFrame:
     a = a.withColumn("equity", F.coalesce("total_equity", F.col("total_assets") - F.col("total_liabilities")))
     averages = {f"avg_{c}": F.avg(c).over(w) for c in ("total_assets", "equity", "inventory", "receivables")}
     before = {f"prev_{c}": F.lag(c).over(p) for c in ("revenue", "net_profit")}
-    return a.withColumns(averages | before | {"price": F.col("total_assets") / 1000.0, "bvps": F.col("total_assets") / 2000.0})
+    # The year's last close; shares follow from the profit and what it is for each of them.
+    last = Window.partitionBy("symbol", "year").orderBy(F.desc("day"))
+    prices = fixture(spark, d, "prices").withColumn("year", F.year("day").cast("int") + 23).withColumn("pn", F.row_number().over(last))
+    shares = F.nullif(F.col("net_profit") / F.nullif(F.col("eps"), F.lit(0.0)), F.lit(0.0))
+    a = a.withColumns(averages | before | {"bvps": F.col("equity") / shares, "rps": F.col("revenue") / shares})
+    return a.join(prices.filter("pn = 1").select("symbol", "year", F.col("close").alias("price")), ["symbol", "year"], "left")
 
 
 #: numerator, denominator, factor, result for a zero denominator
@@ -47,7 +54,7 @@ RATIOS: dict[str, tuple[str, str, float, float | None]] = {
     "net_profit_growth": ("net_profit - prev_net_profit", "abs(prev_net_profit)", 100, 0.0),
     "pe_ratio": ("price", "eps", 1, None),
     "pb_ratio": ("price", "bvps", 1, None),
-    "ps_ratio": ("price", "revenue", 1, None),
+    "ps_ratio": ("price", "rps", 1, None),
     "sales_expense_ratio": ("selling_expenses", "revenue", 100, 0.0),
     "admin_expense_ratio": ("admin_expenses", "revenue", 100, 0.0),
     "rd_expense_ratio": ("rd_expenses", "revenue", 100, 0.0),

@@ -65,16 +65,20 @@ def semantic_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return semantic_search(spark, d).groupBy("query_id").agg((F.sum(F.when(F.col("score") >= 0.5, 1).otherwise(0)) / float(TOP)).alias("recall"))
 
 
+def overlaps(docs: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
+    terms = asked.select("item_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    shared = terms.join(postings(docs), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
+    return shared.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("item_id", "doc_id", "rank", "shared")
+
+
 OVERLAP_SQL = f"SELECT item_id, doc_id, rank, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, COUNT(*) AS shared FROM (SELECT DISTINCT item_id, unnest({WORDS_SQL.format('text')}) AS term FROM benchmark) q JOIN (SELECT DISTINCT doc_id, unnest({WORDS_SQL.format('text')}) AS term FROM documents) p ON q.term = p.term GROUP BY 1, 2) a) b WHERE rank <= {TOP}"
 
 
 @query("overlap_search", OVERLAP_SQL)
 def overlap_search(spark: SparkSession, d: str) -> DataFrame:
     """Documents by the number of different words they share with an item."""
-    asked = base(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
-    shared = asked.join(postings(base(spark, d, "documents")), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id")
-    return shared.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP).select("item_id", "doc_id", "rank", "shared")
+    return overlaps(base(spark, d, "documents"), base(spark, d, "benchmark"))
 
 
 # Millionths, so that the order of addition changes no rank.

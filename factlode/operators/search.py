@@ -78,7 +78,7 @@ def metric_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 K1, B, EPSILON, TOP = 1.5, 0.75, 0.25, 10
-WORDS_SQL = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+'), lambda x: lower(x))"
+WORDS_SQL = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x))"
 # Scores are summed in millionths, so neither the order of rows nor the engine changes a rank.
 SEARCH_SQL = f"""SELECT item_id, doc_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
 WITH d AS (SELECT doc_id, coalesce({WORDS_SQL.format('text')}, []) AS w FROM documents), s AS (SELECT COUNT(*) AS n, SUM(len(w)) * 1e0 / COUNT(*) AS avgdl FROM d),
@@ -90,7 +90,7 @@ FROM q JOIN p ON q.term = p.term JOIN i ON i.term = p.term, m, s GROUP BY 1, 2)
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower), F.array().cast("array<string>"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
