@@ -299,3 +299,59 @@ def test_pipeline(spark, sf):
         if k < len(cp.STAGES) - 1:
             assert docs.columns == before.columns
     assert {r.doc_id for r in cp.run(spark, sf).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_span_hashes_part_thue_morse_strings():
+    import numpy as np
+
+    from factlode.llm import textkit as tk
+
+    a, b = b"a", b"b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    n, data = len(a), np.frombuffer(a + b, np.uint8)
+    h = tk.Spans(data)(np.array([0, n]), np.array([n, 2 * n]))
+    assert h[0] != h[1]
+    twice = tk.Spans(np.frombuffer(a + a, np.uint8))(np.array([0, n]), np.array([n, 2 * n]))
+    assert twice[0] == twice[1] == h[0]
+
+
+def test_near_duplicates_part_thue_morse_words(spark):
+    from factlode.llm import neardup
+
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = spark.createDataFrame([(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(rows).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_base_spans_equal_plain_patterns():
+    from factlode.llm import pii
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(4)
+    for _ in range(20_000):
+        t = "".join(r.choices("a1@.-_ @.b2 5.", k=r.randrange(1, 26)))
+        want = [(*m.span(), "email") for m in email.finditer(t)]
+        want += [(*m.span(), "ip") for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert sorted(s for s in pii.base_spans(t) if s[2] in ("email", "ip")) == sorted(want), t
+
+
+@pytest.mark.parametrize("width", [64, 8, 1])
+def test_pieces_cover_each_window_once(width):
+    import numpy as np
+
+    from factlode.llm import suffixes as sx
+
+    r = random.Random(2)
+    passage = bytes(r.choices(b"ab", k=500))
+    content = bytes(r.choices(b"abc", k=300)) + passage + bytes(r.choices(b"abc", k=300)) + b"x" * 700 + passage
+    data = np.frombuffer(content, np.uint8)
+    offsets = np.array([0, len(data)])
+    first, many, anchor = sx.Grams(data, offsets).runs(np.full(1024, 2**64 - 1, np.uint64), offsets)
+    assert many.sum() == len(content) - sx.LENGTH + 1
+    for f, m, a in zip(first, many, anchor.view(np.int64), strict=True):
+        segment = content[f : f + m + sx.LENGTH - 1]
+        met = [s + k for (core, p), starts in sx.pieces(segment, int(a), width).items() for s in starts for k in range(len(p) - sx.LENGTH + 1) if core in p and segment[s : s + len(p)] == p]
+        assert sorted(met) == list(range(m))
