@@ -130,8 +130,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("at", "text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
-def promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may be similar enough by size and signature."""
+def promising(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``rows`` (a, b, sizes n and m, signatures x and y) that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +140,13 @@ def promising(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             keep = ((x == y).sum(axis=1) >= AGREE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
+    return rows.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def with_signs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) with sizes and signatures of both."""
     first = pairs.join(signed.select(F.col("node").alias("a"), "n", F.col("sign").alias("x")), "a")
-    both = first.join(signed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return first.join(signed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -268,7 +272,9 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     centre = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("b")).select("key", F.col("b").bitwiseXOR(turn).alias("b"))
     nodes = save(members.select("node").distinct(), "met")
     signed = save(sketch.filter("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sign").join(nodes, "node", "left_semi").distinct(), "signed")
-    pairs = save(promising(members.join(centre, "key").filter("node <> b").select(*_pairs("node", "b")).distinct(), signed), "pairs")
+    heads = centre.join(signed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
+    met = members.join(signed.withColumnRenamed("sign", "x"), "node").join(heads, "key").filter("node <> b")
+    pairs = save(promising(met.select(*_pairs("node", "b"), "n", "m", "x", "y")).distinct(), "pairs")
     # One row of each node is read again: ``at`` tells apart rows of one doc_id with different texts.
     rows_of = save(sketch.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
     sets = save(sets_of(docs, rows_of), "sets")
@@ -278,7 +284,7 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(SECOND)]
     centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("key", F.inline("centres")), "centres")
     across = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
-    second = save(promising(across.join(pairs, ["a", "b"], "left_anti"), signed), "second")
+    second = save(promising(with_signs(across.join(pairs, ["a", "b"], "left_anti"), signed)), "second")
     star = save(star.unionByName(verified(second, sets)), "star")
     pairs = pairs.unionByName(second)
     left = save(unsettled(members, components(star)).select("node", "component").distinct(), "left")
@@ -292,7 +298,7 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     # At the first item two sets share, what follows it in each must still hold the overlap they need.
     room = (100 + PERCENT) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= PERCENT * (n + F.col("m"))
     more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m")) & room).select(*_pairs("node", "b")).distinct()
-    third = save(promising(more.join(pairs, ["a", "b"], "left_anti"), signed), "third")
+    third = save(promising(with_signs(more.join(pairs, ["a", "b"], "left_anti"), signed)), "third")
     out = save(star.unionByName(verified(third, sets)), "links")
     forget(shared, members, nodes, signed, rows_of, sets, centres, left, still, prefix, apart)
     return out
