@@ -16,8 +16,9 @@
    one of the rarest shingles of each set. Rarity is counted in ``BINS`` bins of hashed
    shingles at most, which go to every task; any one order of all shingles finds every pair.
    Only pairs of different components are verified, and added to the links.
-4. Components are found by alternating large-star and small-star steps until the edges no
-   longer change; every step is a grouping with partial minima and a join.
+4. Components are found by alternating large-star and small-star steps until the edges are
+   stars; every step is a grouping with partial minima and a join. Links found later are
+   added to the components found so far, which are stars already.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked
 with nothing; a text of under five words has one shingle, the whole sequence; rows with equal
@@ -166,30 +167,37 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _same(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node of ``edges`` (a, b; a > b, distinct) has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    met = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return met.filter("down > 1 OR (down > 0 AND up > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over ``edges`` (a, b), for every node on one."""
     edges = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _same(edges)
-    while state[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a node goes to the least of the node's neighbourhood.
+        # Minima are saved, so that the join after them reads plain rows and a hot node's can be split.
         least = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = save(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        forget(edges, least)
         # Small star: a node and its smaller neighbours go to the least of them.
         least = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state, before = _same(edges), state
-        if state == before:
-            break
-    out = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+        forget(large, least)
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return save(out.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
 
 
+def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """The components that ``more`` (a, b) makes of ``parts`` (node, component)."""
+    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows (key, node, component) of the buckets that hold more than one component."""
     placed = save(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
@@ -251,8 +259,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("node", "component", "items").mapInArrow(run, schema)
 
 
-def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) of the nodes of ``sketch`` that yield the components of all similar pairs."""
+def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of ``sketch`` that are linked with another one."""
     context = docs.sparkSession.sparkContext
     rows = sketch.filter("keys IS NOT NULL")
     met = rows.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -278,16 +286,16 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     # One row of each node is read again: ``at`` tells apart rows of one doc_id with different texts.
     rows_of = save(sketch.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
     sets = save(sets_of(docs, rows_of), "sets")
-    star = save(verified(pairs, sets), "star")
+    first = components(verified(pairs, sets))
     # Once more, only for what is still apart: nodes against centres of other components.
-    apart = unsettled(members, components(star))
+    apart = unsettled(members, first)
     chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(SECOND)]
     centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("key", F.inline("centres")), "centres")
     across = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
     second = save(promising(with_signs(across.join(pairs, ["a", "b"], "left_anti"), signed)), "second")
-    star = save(star.unionByName(verified(second, sets)), "star")
+    parts = joined(first, verified(second, sets))
     pairs = pairs.unionByName(second)
-    left = save(unsettled(members, components(star)).select("node", "component").distinct(), "left")
+    left = save(unsettled(members, parts).select("node", "component").distinct(), "left")
     still = save(sets.join(left, "node"), "still")
     prefix = save(prefixes(still), "prefix")
     spread = prefix.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("item")
@@ -299,8 +307,8 @@ def links(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     room = (100 + PERCENT) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= PERCENT * (n + F.col("m"))
     more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m")) & room).select(*_pairs("node", "b")).distinct()
     third = save(promising(with_signs(more.join(pairs, ["a", "b"], "left_anti"), signed)), "third")
-    out = save(star.unionByName(verified(third, sets)), "links")
-    forget(shared, members, nodes, signed, rows_of, sets, centres, left, still, prefix, apart)
+    out = joined(parts, verified(third, sets))
+    forget(shared, members, nodes, signed, rows_of, sets, centres, left, still, prefix, apart, first, parts)
     return out
 
 
@@ -314,7 +322,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     source = _rows(docs)
     sketch = save(source.select("doc_id", "at", "text").mapInArrow(_sketch, "doc_id long, at long, n_shingles long, node long, keys array<long>, sign binary"), "sketch")
     nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    found = components(links(sketch, source))
+    found = linked(sketch, source)
     placed = save(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = save(placed.join(least, "component").select("node", "component", "component_id"), "of_node")

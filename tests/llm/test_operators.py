@@ -355,3 +355,16 @@ def test_pieces_cover_each_window_once(width):
         segment = content[f : f + m + sx.LENGTH - 1]
         met = [s + k for (core, p), starts in sx.pieces(segment, int(a), width).items() for s in starts for k in range(len(p) - sx.LENGTH + 1) if core in p and segment[s : s + len(p)] == p]
         assert sorted(met) == list(range(m))
+
+
+def test_components_of_paths_and_stars(spark):
+    from factlode.llm import neardup
+
+    path = [(k, k + 1) for k in range(40)]
+    star = [(100, k) for k in range(101, 130)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    parts = neardup.components(frame([*path, *star, *path[:5], (7, 7)]))
+    assert {(r.node, r.component) for r in parts.collect()} == {(k, 0) for k in range(41)} | {(k, 100) for k in range(100, 130)}
+    more = neardup.joined(parts, frame([(129, 33), (200, 201)]))
+    assert {(r.node, r.component) for r in more.collect()} == {(k, 0) for k in [*range(41), *range(100, 130)]} | {(200, 200), (201, 200)}
+    assert neardup.components(frame([])).count() == 0
