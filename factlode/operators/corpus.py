@@ -118,3 +118,20 @@ def drop_page_noise(spark: SparkSession, d: str) -> DataFrame:
     lines = base(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")))
     y = (F.col("pos") * 20) % 800
     return lines.filter(y.between(64, 736) & ~F.col("col").rlike("^[0-9]{1,3}$")).groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+SENTENCE, SHORT = r"[^。！？；\n.!?]*[。！？；\n.!?]+|[^。！？；\n.!?]+", 20
+
+
+@query("split_sentences", f"SELECT doc_id, CAST(k AS BIGINT) AS pos, string_agg(piece, '' ORDER BY i) AS sentence FROM (SELECT doc_id, i, piece, SUM(CASE WHEN length(piece) >= {SHORT} OR i = lowest THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, MIN(i) OVER (PARTITION BY doc_id) AS lowest FROM (SELECT doc_id, trim(unnest(p), ' ' || chr(10)) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS p FROM documents) a) b WHERE piece <> '') c) d GROUP BY doc_id, k")
+def split_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of whole texts; a piece under ``SHORT`` characters goes to the one before it.
+
+    The window is bounded by one document's pieces. Null and blank texts have none."""
+    pieces = base(spark, d, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("at", "piece"))
+    pieces = pieces.withColumn("piece", F.trim("piece", F.lit(" \n"))).filter("piece <> ''")
+    w = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    starts = (F.length("piece") >= SHORT) | (F.min("at").over(w) == F.col("at"))
+    k = pieces.withColumn("starts", starts.cast("long")).withColumn("pos", F.sum("starts").over(w))
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])
+    return k.groupBy("doc_id", "pos").agg(F.array_join(joined, "").alias("sentence"))

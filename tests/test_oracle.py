@@ -10,7 +10,7 @@ from factlode.plans import registry
 
 NAMES = sorted(registry.oracle_sql())
 SEARCH = ("match_companies", "match_metrics", "extract_years", "metric_query", "bm25_index", "bm25_search", "mrr", "recall_at_k", "ndcg_at_k")
-LANGUAGE = ("parse_value_unit", "sanitize_text", "document_filter", "key_map_exact", "key_map_fuzzy", "resolve_anaphora")
+LANGUAGE = ("split_sentences", "parse_value_unit", "sanitize_text", "document_filter", "key_map_exact", "key_map_fuzzy", "resolve_anaphora")
 FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
 
