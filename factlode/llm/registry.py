@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from .bpe import op7_bpe
 from .decontaminate import op1_decontaminate
+from .fim import op13_fill_in_middle
 from .neardup import op10_near_duplicates
+from .partenum import op12_jaccard_join
 from .phrases import op8_repeated_phrases
 from .pii import op9_pii
 from .ppm import op5_lm_scores
 from .quality import op4_quality_rules
 from .suffixes import op6_suffix_dedup
 from .tokenstore import op2_token_store
+from .turns import op11_turn_repair
 from .urls import OP3_SQL, op3_url_filter
 
 ALL = (
@@ -26,6 +29,9 @@ ALL = (
     op8_repeated_phrases,
     op9_pii,
     op10_near_duplicates,
+    op11_turn_repair,
+    op12_jaccard_join,
+    op13_fill_in_middle,
 )
 
 
