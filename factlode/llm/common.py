@@ -64,3 +64,15 @@ def ids_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def digest(col: Column) -> Column:
     """A short key of a text (null: empty) that tells rows with the same doc_id apart."""
     return F.unhex(F.md5(F.coalesce(col, F.lit(""))))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

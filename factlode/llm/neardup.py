@@ -11,11 +11,12 @@
    if 100 * intersection >= 75 * union. (Of a pair that similar, 96 of the 128 places agree on
    average; fewer than 72 are five standard deviations off.) Centres are chosen in ``PIVOTS``
    ways; a second round pairs what is still apart with centres of other components.
-3. What a star can miss are links between nodes of one bucket that verification left in
-   different components. These nodes go through an exact search: a pair that similar shares
-   one of the rarest shingles of each set. Rarity is counted in ``BINS`` bins of hashed
+3. What bands and stars can miss is found by an exact search over all nodes: a pair that similar
+   shares one of the rarest shingles of each set. Rarity is counted in ``BINS`` bins of hashed
    shingles at most, which go to every task; any one order of all shingles finds every pair.
-   Only pairs of different components are verified, and added to the links.
+   Rare shingles that only one node shows are dropped first, by a grouping and a Bloom filter.
+   Only pairs of different components are verified, and added to the links. Signatures rule out
+   a pair here only below ``SURELY`` places, which a similar pair meets with a chance under 1e-17.
 4. Components are found by alternating large-star and small-star steps until the edges are
    stars; every step is a grouping with partial minima and a join. Links found later are
    added to the components found so far, which are stars already.
@@ -30,7 +31,7 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,33 +41,33 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from . import textkit as tk
-from .common import forget, ids_and_text, save, table
+from .common import forget, ids_and_text, save, table, unused
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: Different choices of a bucket's centre.
 PIVOTS = 4
 #: Centres of other components that a node meets in each bucket of the second round.
 SECOND = 2
-#: Places of the signature in which a pair must agree to be verified.
-AGREE = 72
+#: Places of the signature in which a pair must agree to be verified, in the rounds before the exact search and in it.
+AGREE, SURELY = 72, 50
 BINS, BLOCK = 1 << 23, 1 << 12
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     for _, _, data, offsets in tk.blocks(column):
         starts, ends, row = tk.words(data, offsets)
         hashes = tk.Spans(data, tk.LOWER)(starts, ends)
-        window, _ = tk.windows(hashes, row, SHINGLE)
+        window, _ = tk.windows(hashes, row, shingle)
         at = np.searchsorted(row, np.arange(len(offsets)))
         for a, b in zip(at, at[1:], strict=False):
-            if b - a >= SHINGLE:
-                yield np.unique(window[a : b - SHINGLE + 1])
+            if b - a >= shingle:
+                yield np.unique(window[a : b - shingle + 1])
             elif b > a:
-                # Mixed with its length, so that it differs from any five words.
+                # Mixed with its length, so that it differs from any full shingle.
                 yield tk.mix(tk.windows(hashes[a:b], row[a:b], int(b - a))[0] + np.uint64(b - a))
             else:
                 yield np.zeros(0, tk.U64)
@@ -91,14 +92,47 @@ def sketched(items: np.ndarray) -> tuple[np.ndarray, bytes]:
     return h.view(np.int64), least.astype(np.uint8).tobytes()
 
 
-def digest(items: np.ndarray) -> int | None:
+def digest(items: np.ndarray) -> bytes | None:
     """The node of a set; none of the empty set."""
-    return int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True) if len(items) else None
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
+def brief(node: bytes) -> int:
+    """A long that tells whether two nodes that share a key differ."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
+def different_sets(column: pa.Array, shingle: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Node and set of each different set of a batch; none of empty ones."""
+    met: set[bytes | None] = {None}
+    for items in shingle_sets(column, shingle):
+        node = digest(items)
+        if node not in met:
+            met.add(node)
+            yield node, items
+
+
+def gathered(run: Callable, rows: int = 1 << 16) -> Callable:
+    """Small batches of a task put together."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in run(batches):
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return some
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        met: set[int | None] = {None}
+        met: set[bytes | None] = {None}
         n, nodes, keys, signs = [], [], [], []
         for items in shingle_sets(batch.column("text")):
             node = digest(items)
@@ -109,39 +143,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(key)
             signs.append(sign)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
+            [batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
             names=["doc_id", "at", "n_shingles", "node", "keys", "sign"],
         )
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, items) of the rows whose ``at`` is among ``wanted`` (at), and of a few others that a filter passes.
 
     Texts are read again, so that no text is moved."""
-    many = wanted.count()
-    sent = docs.sparkSession.sparkContext.broadcast(sieve.build(wanted, "at", sieve.sized(many)))
+    sent = docs.sparkSession.sparkContext.broadcast(sieve.build(wanted, "at", sieve.sized(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(sieve.holds(sent.value, batch.column("at").to_numpy())))
-            sets = {digest(s): s.view(np.int64) for s in shingle_sets(batch.column("text"))}
-            sets.pop(None, None)
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], names=["node", "items"])
+            sets = dict(different_sets(batch.column("text"), shingle))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.select("at", "text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
+    return docs.select("at", "text").mapInArrow(run, "node binary, items array<long>").dropDuplicates(["node"])
 
 
-def promising(rows: DataFrame) -> DataFrame:
+def promising(rows: DataFrame, agree: int = AGREE) -> DataFrame:
     """The pairs (a, b) of ``rows`` (a, b, sizes n and m, signatures x and y) that may be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("x", "y"))
-            keep = ((x == y).sum(axis=1) >= AGREE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            keep = ((x == y).sum(axis=1) >= agree) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return rows.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def with_signs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -150,7 +182,7 @@ def with_signs(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return first.join(signed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +190,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             left, right, keep = batch.column("x"), batch.column("y"), []
             for k in range(batch.num_rows):
                 x, y = left[k].values.to_numpy(), right[k].values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-                keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -211,17 +243,19 @@ def _pairs(left: str, right: str) -> list:
     return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")]
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each bin stand in ``sets`` (node, items), up to 65,535; at most ``BINS`` numbers come to the driver."""
-    total = sets.agg(F.sum(F.size("items"))).first()[0] or 0
+#: Reads (node, items) out of a batch.
+Reader = Callable[[pa.RecordBatch], Iterator[tuple[bytes, np.ndarray]]]
+
+
+def rarity(source: DataFrame, read: Reader, total: int) -> np.ndarray:
+    """How often the shingles of each bin stand in the sets of ``source``, up to 65,535; at most ``BINS`` numbers come to the driver."""
     bins = min(BINS, 1 << max(16, int(total).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(bins, np.uint32)
         for batch in batches:
-            items = batch.column("items").flatten().to_numpy().view(np.uint64)
-            at, n = np.unique((items & np.uint64(bins - 1)).astype(np.uint32), return_counts=True)
-            met[at] += n.astype(np.uint32)
+            for _, items in read(batch):
+                np.add.at(met, (items & np.uint64(bins - 1)).astype(np.int64), 1)
         for k in np.flatnonzero(met.reshape(-1, BLOCK).any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(met[k * BLOCK : (k + 1) * BLOCK], 65535).astype("<u2").tobytes()], pa.binary())], names=["block", "met"])
 
@@ -229,41 +263,71 @@ def rarity(sets: DataFrame) -> np.ndarray:
         met = sum(np.frombuffer(x, "<u2").astype(np.uint64) for x in rows["met"].to_pylist())
         return pa.table({"block": rows["block"][:1], "met": pa.array([np.minimum(met, 65535).astype("<u2").tobytes()], pa.binary())})
 
-    got = sets.select("items").mapInArrow(run, "block int, met binary").groupBy("block").applyInArrow(add, "block int, met binary").toArrow()
+    got = source.mapInArrow(run, "block int, met binary").groupBy("block").applyInArrow(add, "block int, met binary").toArrow()
     out = np.zeros(bins, np.uint16)
     for k, met in zip(got["block"].to_pylist(), got["met"].to_pylist(), strict=True):
         out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(met, "<u2")
     return out
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """The rarest shingles of each set of ``sets`` (node, component, items), with their rank.
+def rarest(items: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
+    """The n - ceil(p n) + 1 rarest of n shingles, rarest first: of a similar pair, both sets show one."""
+    keep = len(items) - -(-len(items) * percent // 100) + 1
+    return items[np.lexsort((items, met[(items & np.uint64(len(met) - 1)).astype(np.int64)]))][:keep]
 
-    The larger set of a pair shows one of its n - ceil(0.75 n) + 1 rarest shingles; the smaller one
-    need only show its n - ceil(6/7 n) + 1 rarest (``short``), since the overlap is at least 6/7 of it."""
-    sent = sets.sparkSession.sparkContext.broadcast(rarity(sets))
-    schema = "item long, node long, n long, component long, at long, short boolean"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = sent.value
+def prefixes(source: DataFrame, read: Reader, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(item, node, n, at, short): the rarest shingles of each set, with rank, that two nodes show; and the shown items, saved.
+
+    The larger set of a pair shows one of its n - ceil(p n) + 1 rarest shingles; the smaller one need
+    only show its n - ceil(2 p n / (1 + p)) + 1 rarest (``short``), since the overlap is at least that of it."""
+    context = source.sparkSession.sparkContext
+    order = context.broadcast(rarity(source, read, total))
+
+    def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, component, items in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("items"), strict=True):
-                x = items.values.to_numpy()
-                n = len(x)
-                keep = n - -(-n * PERCENT // 100) + 1
-                short = n - -(-n * 2 * PERCENT // (100 + PERCENT)) + 1
-                rare = x[np.lexsort((x, met[(x.view(np.uint64) & np.uint64(len(met) - 1)).astype(np.int64)]))][:keep]
-                at = np.arange(1, len(rare) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(rare), *(pa.array(np.full(len(rare), v, np.int64)) for v in (node, n, component)), pa.array(at), pa.array(at <= short)], names=[c.split()[0] for c in schema.split(", ")])
+            for node, items in read(batch):
+                rare = rarest(items, order.value, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64)), pa.array(np.full(len(rare), brief(node)))], names=["item", "node"])
 
-    return sets.select("node", "component", "items").mapInArrow(run, schema)
+    met = source.mapInArrow(gathered(items_of), "item long, node long").groupBy("item").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    spread = save(met.filter("lo <> hi").select("item"), "spread")
+    sent = context.broadcast(sieve.build(spread, "item", sieve.sized(spread.count())))
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in read(batch):
+                n = len(items)
+                rare = rarest(items, order.value, percent).view(np.int64)
+                at = np.flatnonzero(sieve.holds(sent.value, rare))
+                if len(at):
+                    short = n - -(-n * 2 * percent // (100 + percent)) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(rare[at]), pa.array([node] * len(at), pa.binary()), pa.array(np.full(len(at), n)), pa.array(at + 1), pa.array(at < short)], names=["item", "node", "n", "at", "short"])
+
+    rows = source.mapInArrow(gathered(rows_of), "item long, node binary, n long, at long, short boolean")
+    return rows.join(spread, "item", "left_semi").distinct(), spread
+
+
+def across(prefix: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes of different components that share a rare shingle and may be similar enough; and the rows they come from, saved."""
+    placed = prefix.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = save(placed, "prefix")
+    spread = placed.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("item")
+    rows = placed.join(spread, "item", "left_semi")
+    n = F.col("n")
+    other = rows.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("at").alias("to"))
+    larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
+    # At the first item two sets share, what follows it in each must still hold the overlap they need.
+    room = (100 + percent) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= percent * (n + F.col("m"))
+    met = rows.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= percent * F.col("m")) & room)
+    return met.select(*_pairs("node", "b")).distinct(), placed
 
 
 def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``sketch`` that are linked with another one."""
     context = docs.sparkSession.sparkContext
     rows = sketch.filter("keys IS NOT NULL")
-    met = rows.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = rows.select(F.xxhash64("node").alias("node"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = save(met.filter("lo <> hi").select("key"), "shared")
     sent = context.broadcast(sieve.build(shared, "key", sieve.sized(shared.count())))
 
@@ -271,13 +335,13 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column("keys").flatten().to_numpy()
             keep = sieve.holds(sent.value, keys)
-            nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes[keep])], names=["key", "node"])
+            nodes = batch.column("node").take(pa.array(np.flatnonzero(keep) // BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), nodes], names=["key", "node"])
 
-    members = save(rows.select("node", "keys").mapInArrow(may_share, "key long, node long").join(shared, "key", "left_semi").distinct(), "members")
+    members = save(rows.select("node", "keys").mapInArrow(may_share, "key long, node binary").join(shared, "key", "left_semi").distinct(), "members")
     # The star's centre differs from key to key, so that a node meets several of its kin.
-    turn = F.xxhash64(F.pmod("key", F.lit(PIVOTS)))
-    centre = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("b")).select("key", F.col("b").bitwiseXOR(turn).alias("b"))
+    turn = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))
+    centre = members.groupBy("key").agg(F.min_by("node", turn).alias("b"))
     nodes = save(members.select("node").distinct(), "met")
     signed = save(sketch.filter("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sign").join(nodes, "node", "left_semi").distinct(), "signed")
     heads = centre.join(signed.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
@@ -291,24 +355,27 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     apart = unsettled(members, first)
     chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(SECOND)]
     centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("key", F.inline("centres")), "centres")
-    across = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
-    second = save(promising(with_signs(across.join(pairs, ["a", "b"], "left_anti"), signed)), "second")
+    others = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
+    second = save(promising(with_signs(others.join(pairs, ["a", "b"], "left_anti"), signed)), "second")
     parts = joined(first, verified(second, sets))
     pairs = pairs.unionByName(second)
-    left = save(unsettled(members, parts).select("node", "component").distinct(), "left")
-    still = save(sets.join(left, "node"), "still")
-    prefix = save(prefixes(still), "prefix")
-    spread = prefix.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("item")
-    prefix = save(prefix.join(spread, "item", "left_semi"), "prefix")
-    n = F.col("n")
-    other = prefix.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("at").alias("to"))
-    larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
-    # At the first item two sets share, what follows it in each must still hold the overlap they need.
-    room = (100 + PERCENT) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= PERCENT * (n + F.col("m"))
-    more = prefix.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= PERCENT * F.col("m")) & room).select(*_pairs("node", "b")).distinct()
-    third = save(promising(with_signs(more.join(pairs, ["a", "b"], "left_anti"), signed)), "third")
+    # Then every pair that is still apart, whether or not a bucket holds both.
+    read = lambda batch: different_sets(batch.column("text"), SHINGLE)
+    total = sketch.agg(F.sum("n_shingles")).first()[0] or 0
+    prefix, spread = prefixes(docs.select("text"), read, total, PERCENT)
+    more, placed = across(prefix, parts, PERCENT)
+    more = save(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    forget(shared, members, nodes, signed, rows_of, centres, apart, first, sets, spread, placed)
+    if more.isEmpty():
+        return parts
+    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    of_ends = sketch.filter("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sign").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    third = save(promising(with_signs(more, of_ends), SURELY), "third")
+    ends = third.select(F.col("a").alias("node")).unionByName(third.select(F.col("b").alias("node"))).distinct()
+    rows_of = save(sketch.filter("node IS NOT NULL").join(ends, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
+    sets = save(sets_of(docs, rows_of), "sets")
     out = joined(parts, verified(third, sets))
-    forget(shared, members, nodes, signed, rows_of, sets, centres, left, still, prefix, apart, first, parts)
+    forget(more, third, rows_of, sets, parts)
     return out
 
 
@@ -320,13 +387,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, at, n_shingles, component (null for an empty set) and component_id, its least doc_id, of every document."""
     source = _rows(docs)
-    sketch = save(source.select("doc_id", "at", "text").mapInArrow(_sketch, "doc_id long, at long, n_shingles long, node long, keys array<long>, sign binary"), "sketch")
+    sketch = save(source.select("doc_id", "at", "text").mapInArrow(_sketch, "doc_id long, at long, n_shingles long, node binary, keys array<long>, sign binary"), "sketch")
     nodes = sketch.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     found = linked(sketch, source)
     placed = save(nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = save(placed.join(least, "component").select("node", "component", "component_id"), "of_node")
-    empty = sketch.filter("node IS NULL").select("doc_id", "at", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    empty = sketch.filter("node IS NULL").select("doc_id", "at", "n_shingles", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id"))
     rest = sketch.filter("node IS NOT NULL").select("doc_id", "at", "n_shingles", "node").join(of_node, "node")
     return rest.select("doc_id", "at", "n_shingles", "component", "component_id").unionByName(empty)
 
@@ -349,7 +416,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Rows to drop, and rows of which one stays, as both id and text are repeated.
     marked = save(shared.select("doc_id", "at", "many", stays.alias("stays")).filter("NOT stays OR many > 1"), "marked")
     names = docs.columns
-    source = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__at": F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
+    own_id, own_at, nth = unused(docs, "id", "at", "nth")
+    source = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_at: F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
     # Most rows are not marked; a filter tells them, and they stay where they are.
     sent = spark.sparkContext.broadcast(sieve.build(marked, "at", sieve.sized(marked.count())))
 
@@ -357,9 +425,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def maybe(at: pd.Series) -> pd.Series:
         return pd.Series(sieve.holds(sent.value, at.to_numpy()))
 
-    hit = source.filter(maybe("__at"))
-    same = lambda m: hit["__id"].eqNullSafe(m["doc_id"]) & (hit["__at"] == m["at"])
+    hit = source.filter(maybe(own_at))
+    same = lambda m: hit[own_id].eqNullSafe(m["doc_id"]) & (hit[own_at] == m["at"])
     repeated = marked.filter("stays")
-    one = hit.join(repeated, same(repeated), "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__at").orderBy("__at"))).filter("__n = 1")
+    one = hit.join(repeated, same(repeated), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(own_id, own_at).orderBy(own_at))).filter(F.col(nth) == 1)
     rest = hit.join(marked, same(marked), "left_anti")
-    return source.filter(~maybe("__at")).select(*names).unionByName(rest.select(*names)).unionByName(one.select(*names))
+    return source.filter(~maybe(own_at)).select(*names).unionByName(rest.select(*names)).unionByName(one.select(*names))

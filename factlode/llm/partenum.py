@@ -19,8 +19,9 @@ give each similar pair slack + 1 parts in which they agree; so a set with empty
    filter of bounded size and a join leave their rows.
 3. Nodes of a bucket are paired with centres, never with all others, and verified on their full sets;
    components are found by alternating large-star and small-star.
-4. Nodes of buckets that still hold several components show signatures of another cut of the domain.
-   Each similar pair shares one of these too, and pairs of different components that do are verified.
+4. Nodes of buckets that still hold several components are compared by their rarest shingles, of which
+   a similar pair shares one; pairs of different components are verified. A set with many shingles
+   of its own drops out here without being paired.
 
 Defined results: a null or empty text, or one of white space, has an empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; rows with equal doc_id are members by
@@ -30,7 +31,6 @@ component, or null. An empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from . import sieve
 from . import textkit as tk
 from .common import forget, ids_and_text, save, table
-from .neardup import components, joined, unsettled
+from .neardup import across, brief, components, different_sets, digest, gathered, joined, prefixes, sets_of, shingle_sets, unsettled, verified
 
 SHINGLE, PERCENT = 4, 85
 U64 = np.uint64
@@ -68,7 +68,7 @@ def scheme(band: int, percent: int) -> tuple[int, int, int, np.ndarray] | None:
     if k == 0:
         return None
     k2 = 1 if k == 1 or k > 16 else 2
-    n2 = 3 if k2 == 1 else 5
+    n2 = 3 if k == 1 else 2 if k2 == 1 else 5
     n1 = -(-(k + 1) // (k2 + 1))
     slack = 2 + n1 // 8 if k > 16 else 0
     return n1 + slack, n2, slack, np.array(list(combinations(range(n2), n2 - k2)))
@@ -81,12 +81,10 @@ def tags(size: int, percent: int) -> list[int]:
     return [own, own + 1] if 100 * size // percent >= least[own + 1] else [own]
 
 
-def signatures(items: np.ndarray, percent: int = PERCENT, cut: int = 0) -> np.ndarray:
-    """The signatures of a set of sorted hashes; ``cut`` chooses one of many ways to cut the domain."""
+def signatures(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The signatures of a set of sorted hashes."""
     if not len(items):
         return np.zeros(0, U64)
-    if cut:
-        items = np.sort(tk.mix(items + U64(cut)))
     sums = np.zeros(len(items) + 1, U64)
     np.cumsum(tk.mix(items), out=sums[1:])
     out = []
@@ -105,32 +103,6 @@ def signatures(items: np.ndarray, percent: int = PERCENT, cut: int = 0) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    for _, _, data, offsets in tk.blocks(column):
-        starts, ends, row = tk.words(data, offsets)
-        hashes = tk.Spans(data, tk.LOWER)(starts, ends)
-        window, _ = tk.windows(hashes, row, shingle)
-        at = np.searchsorted(row, np.arange(len(offsets)))
-        for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
-            if b - a >= shingle:
-                yield np.unique(window[a : b - shingle + 1])
-            elif b > a:
-                # Mixed with its length, so that it differs from any full shingle.
-                yield tk.mix(tk.windows(hashes[a:b], row[a:b], b - a)[0] + U64(b - a))
-            else:
-                yield np.zeros(0, U64)
-
-
-def digest(items: np.ndarray) -> bytes | None:
-    """The node of a set; none of the empty set."""
-    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
-
-
-def _short(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little", signed=True)
-
-
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, at (a hash of the text), n_shingles and node of each row."""
 
@@ -145,91 +117,31 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, n_shingles long, node binary")
 
 
-def _different(column: pa.Array, shingle: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Node and set of each different set of a batch."""
-    met: set[bytes | None] = {None}
-    for items in shingle_sets(column, shingle):
-        node = digest(items)
-        if node not in met:
-            met.add(node)
-            yield node, items
-
-
 def shared_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The signatures of two or more nodes. Eight bytes of a node tell whether two that share one differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, items in _different(batch.column("text"), shingle):
+            for node, items in different_sets(batch.column("text"), shingle):
                 keys = signatures(items, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), _short(node)))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), brief(node)))], names=["key", "node"])
 
-    met = docs.select("text").mapInArrow(_gathered(run), "key long, node long").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = docs.select("text").mapInArrow(gathered(run), "key long, node long").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     return met.filter("lo <> hi").select("key")
 
 
-def _gathered(run, rows: int = 1 << 16):
-    """Small batches of a task put together."""
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in run(batches):
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= rows:
-                yield pa.concat_batches(held)
-                held, n = [], 0
-        if held:
-            yield pa.concat_batches(held)
-
-    return gathered
-
-
 def bucket_members(docs: DataFrame, shared: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(key, node, n): the nodes of each shared signature, with their sizes."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve.build(shared, "key", sieve.sized(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, items in _different(batch.column("text"), shingle):
+            for node, items in different_sets(batch.column("text"), shingle):
                 keys = signatures(items, percent).view(np.int64)
                 keys = keys[sieve.holds(sent.value, keys)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * len(keys), pa.binary()), pa.array(np.full(len(keys), len(items)))], names=["key", "node", "n"])
 
-    return docs.select("text").mapInArrow(_gathered(run), "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, items) of the rows whose ``at`` is among ``wanted`` (at), and of a few others that a filter passes.
-
-    Texts are read again, so that no text is moved."""
-    sent = docs.sparkSession.sparkContext.broadcast(sieve.build(wanted, "at", sieve.sized(wanted.count())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(sieve.holds(sent.value, batch.column("at").to_numpy())))
-            for node, items in _different(batch.column("text"), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([items.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
-
-    return docs.select("at", "text").mapInArrow(_gathered(run, 256), "node binary, items array<long>").dropDuplicates(["node"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = left.values.to_numpy(), right.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return docs.select("text").mapInArrow(gathered(run), "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
 
 
 def _fitting(rows: DataFrame, percent: int) -> DataFrame:
@@ -238,23 +150,6 @@ def _fitting(rows: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def _across(sets: DataFrame, left: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures shown, and pairs of nodes of different components (``left``: node, component) that share a signature of the second cut."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, component, items in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("items"), strict=True):
-                x = items.values.to_numpy().view(U64)
-                keys = signatures(x, percent, cut=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * len(keys), pa.binary()), pa.array([component] * len(keys), pa.binary()), pa.array(np.full(len(keys), len(x)))], names=["key", "node", "component", "n"])
-
-    shown = save(sets.join(left, "node").select("node", "component", "items").mapInArrow(_gathered(run), "key long, node binary, component binary, n long"), "shown")
-    mixed = shown.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rows = shown.join(mixed, "key", "left_semi")
-    other = rows.select("key", F.col("node").alias("other"), F.col("component").alias("c"), F.col("n").alias("m"))
-    return shown, _fitting(rows.join(other, "key").filter("component < c"), percent)
-
-
 def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another one. ``marked`` is the sketch of ``docs``."""
     shared = save(shared_keys(docs, shingle, percent), "shared")
@@ -270,18 +165,26 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     sized = members.select("node", "n").distinct()
     chosen = [F.min_by(F.struct(F.col("node").alias("other"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(32)))) for k in range(SECOND)]
     centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("c")).select("key", F.inline("c")), "centres")
-    across = apart.join(centres, "key").filter("component <> c").select("node", "other").distinct()
-    across = _fitting(across.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other"), percent)
-    second = save(across.join(pairs, ["a", "b"], "left_anti"), "second")
+    others = apart.join(centres, "key").filter("component <> c").select("node", "other").distinct()
+    others = _fitting(others.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other"), percent)
+    second = save(others.join(pairs, ["a", "b"], "left_anti"), "second")
     parts = joined(first, verified(second, sets, percent))
-    left = save(unsettled(members.select("key", "node"), parts).select("node", "component").distinct(), "left")
-    shown, across = _across(sets, left, percent)
-    third = save(across.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
+    left = save(unsettled(members.select("key", "node"), parts).select("node").distinct(), "left")
+    rest = save(sets.join(left, "node", "left_semi"), "rest")
+    total = rest.agg(F.sum(F.size("items"))).first()[0] or 0
+    prefix, spread = prefixes(rest, _read, total, percent)
+    more, placed = across(prefix, parts, percent)
+    third = save(more.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
     out = joined(parts, verified(third, sets, percent))
-    forget(shared, members, pairs, sets, first, apart, centres, second, parts, left, shown, third)
+    forget(shared, members, pairs, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
     return out
 
 
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+    for node, items in zip(batch.column("node"), batch.column("items"), strict=True):
+        yield node.as_py(), items.values.to_numpy().view(U64)
+
+
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
     source = ids_and_text(docs).withColumn("at", F.xxhash64("text"))

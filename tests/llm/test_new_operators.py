@@ -128,7 +128,7 @@ def test_similar_sets_share_a_signature(percent):
     from factlode.llm import partenum as pe
 
     r = np.random.default_rng(percent)
-    for cut in (0, 1):
+    for _ in range(2):
         for _ in range(1500):
             both = int(r.integers(1, 400))
             apart = int(both * (100 - percent) / percent)
@@ -138,7 +138,7 @@ def test_similar_sets_share_a_signature(percent):
             if r.random() < 0.5:
                 items = (items % np.uint64(1 << 58)) + (r.integers(0, 3, len(items), dtype=np.uint64) << np.uint64(62))
             a, b = np.sort(items[: both + x]), np.sort(np.concatenate([items[:both], items[both + x :]]))
-            assert len(np.intersect1d(pe.signatures(a, percent, cut), pe.signatures(b, percent, cut))) or np.array_equal(a, b) or pe.scheme(max(pe.tags(len(b), percent)), percent) is None
+            assert len(np.intersect1d(pe.signatures(a, percent), pe.signatures(b, percent))) or np.array_equal(a, b) or pe.scheme(max(pe.tags(len(b), percent)), percent) is None
 
 
 def plain_repair(codes):
@@ -254,3 +254,33 @@ def test_turn_repair(spark):
     for conv, (*_, digest) in want.items():
         assert re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in kept[conv]))
         assert sha("\n".join(f"{r.role}:{r.text}" for r in kept[conv])) == digest
+
+
+@pytest.mark.parametrize("percent", [75, 85])
+def test_exact_search_needs_no_buckets(spark, percent):
+    """Every pair that similar is found by its rare shingles alone, at the bound as well."""
+    from factlode.llm import neardup
+
+    r = random.Random(percent)
+    rows = []
+    for n in (4, 8, 20, 40, 150, 151):
+        for _ in range(5):
+            whole = [f"v{r.randrange(10**9)}" for _ in range(n * 100 // percent + 4)]
+            rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate((whole, whole[: n + 4], whole[: n + 3], whole[4:], [*whole[: n + 4], *["of the same passage as all"] * 1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 5) for _, t in rows]
+    want = {frozenset((a, b)) for a, b in itertools.combinations(range(len(rows)), 2) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    column = docs.toArrow().column("text").combine_chunks()
+    node = {neardup.digest(s): k for k, s in enumerate(neardup.shingle_sets(column))}
+    prefix, _ = neardup.prefixes(docs.select("text"), lambda batch: neardup.different_sets(batch.column("text"), 5), 10_000, percent)
+    nothing = spark.createDataFrame([], "node binary, component binary")
+    got = {frozenset((node[bytes(r.a)], node[bytes(r.b)])) for r in neardup.across(prefix, nothing, percent)[0].collect()}
+    assert want <= got and len(want) > 60
+
+
+def test_stage_keeps_columns_named_like_its_own(spark):
+    from factlode.llm import neardup
+
+    rows = [(1, "a b c d e f g", 7, "x", 3), (2, "a b c d e f g", 8, "y", 4), (3, "h i j k l m n", 9, "z", 5), (3, "h i j k l m n", 9, "z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nth int, at string, ID int")
+    assert sorted(map(tuple, neardup.stage(spark, docs, "").collect())) == [rows[0], rows[2]]
