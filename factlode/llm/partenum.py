@@ -17,8 +17,9 @@ give each similar pair slack + 1 parts in which they agree; so a set with empty
    of 16 bytes, the node: equal sets are one node.
 2. Signatures shown by two different nodes are kept, told by a grouping with partial minima; a Bloom
    filter of bounded size and a join leave their rows.
-3. Nodes of a bucket are paired with centres, never with all others, and verified on their full sets;
-   components are found by alternating large-star and small-star.
+3. Nodes of a bucket meet its centres, never all others; each node is paired with the centre that
+   shares most of its signatures and verified on the full sets; components are found by alternating
+   large-star and small-star. A second round does so with centres of other components.
 4. Nodes of buckets that still hold several components are compared by their rarest shingles, of which
    a similar pair shares one; pairs of different components are verified. A set with many shingles
    of its own drops out here without being paired.
@@ -43,12 +44,12 @@ from pyspark.sql import functions as F
 from . import sieve
 from . import textkit as tk
 from .common import forget, ids_and_text, save, table
-from .neardup import across, brief, components, different_sets, digest, gathered, joined, prefixes, sets_of, shingle_sets, unsettled, verified
+from .neardup import across, brief, components, different_sets, digest, joined, prefixes, sets_of, shingle_sets, unsettled, verified
 
 SHINGLE, PERCENT = 4, 85
 U64 = np.uint64
 #: Choices of a bucket's centre in the first round, and centres of other components a node meets in the second.
-PIVOTS, SECOND = 4, 2
+PIVOTS, SECOND = 2, 2
 
 
 @lru_cache(maxsize=64)
@@ -61,8 +62,9 @@ def bands(percent: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1024)
-def scheme(band: int, percent: int) -> tuple[int, int, int, np.ndarray] | None:
-    """Parts, smaller parts of each, slack, and the subsets of a band; none if only equal sets can be similar there."""
+def scheme(band: int, percent: int) -> tuple | None:
+    """Of a band: smaller parts of each part, slack, subsets, bounds of all smaller parts, and a salt of each
+    signature; none if only equal sets can be similar there."""
     largest = int(bands(percent)[band + 1]) - 1
     k = 2 * largest * (100 - percent) // (100 + percent)
     if k == 0:
@@ -71,7 +73,11 @@ def scheme(band: int, percent: int) -> tuple[int, int, int, np.ndarray] | None:
     n2 = 3 if k == 1 else 2 if k2 == 1 else 5
     n1 = -(-(k + 1) // (k2 + 1))
     slack = 2 + n1 // 8 if k > 16 else 0
-    return n1 + slack, n2, slack, np.array(list(combinations(range(n2), n2 - k2)))
+    subsets = np.array(list(combinations(range(n2), n2 - k2)))
+    parts, shape = (n1 + slack) * n2, (n1 + slack, len(subsets))
+    bounds = np.arange(1, parts, dtype=U64) * U64((1 << 64) // parts)
+    salt = tk.mix(np.arange(shape[0] * shape[1], dtype=U64) + (U64(band) << U64(40)) + U64(1)).reshape(shape)
+    return n2, slack, subsets, bounds, salt
 
 
 def tags(size: int, percent: int) -> list[int]:
@@ -86,20 +92,20 @@ def signatures(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     if not len(items):
         return np.zeros(0, U64)
     sums = np.zeros(len(items) + 1, U64)
-    np.cumsum(tk.mix(items), out=sums[1:])
+    np.cumsum(items, out=sums[1:])
     out = []
     for band in tags(len(items), percent):
         if (how := scheme(band, percent)) is None:
             continue
-        n1, n2, slack, subsets = how
-        parts = n1 * n2
-        step = U64((1 << 64) // parts)
-        at = np.concatenate([[0], np.searchsorted(items, np.arange(1, parts, dtype=U64) * step), [len(items)]])
-        total = (sums[at[1:]] - sums[at[:-1]]).reshape(n1, n2)[:, subsets].sum(axis=2)
-        full = np.diff(at).reshape(n1, n2)[:, subsets].sum(axis=2) > 0
-        salt = tk.mix(np.arange(total.size, dtype=U64) + (U64(band) << U64(40)) + U64(1)).reshape(total.shape)
-        keys = tk.mix(total + salt)
-        out.append(keys[full] if (~full).any(axis=1).sum() <= slack else keys.ravel())
+        n2, slack, subsets, bounds, salt = how
+        at = np.zeros(len(bounds) + 2, np.int64)
+        at[1:-1] = np.searchsorted(items, bounds)
+        at[-1] = len(items)
+        total, many = np.diff(sums[at]).reshape(-1, n2), np.diff(at).reshape(-1, n2)
+        if subsets.shape[1] > 1:
+            total, many = total[:, subsets].sum(axis=2), many[:, subsets].sum(axis=2)
+        keys, full = tk.mix(total + salt), many > 0
+        out.append(keys[full] if len(full) - full.all(axis=1).sum() <= slack else keys.ravel())
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -117,16 +123,34 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, n_shingles long, node binary")
 
 
+def shown(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, rows: int = 1 << 17) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """Signatures, and the nodes, sizes and counts of signatures of the sets that show them, many sets at a time."""
+    keys, nodes, sizes, many = [], [], [], 0
+
+    def held() -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        return np.concatenate(keys).view(np.int64), nodes, np.array(sizes, np.int64), np.array([len(k) for k in keys], np.int64)
+
+    for batch in batches:
+        for node, items in different_sets(batch.column("text"), shingle):
+            keys.append(signatures(items, percent))
+            nodes.append(node)
+            sizes.append(len(items))
+            many += len(keys[-1])
+            if many >= rows:
+                yield held()
+                keys, nodes, sizes, many = [], [], [], 0
+    if keys:
+        yield held()
+
+
 def shared_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The signatures of two or more nodes. Eight bytes of a node tell whether two that share one differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, items in different_sets(batch.column("text"), shingle):
-                keys = signatures(items, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), brief(node)))], names=["key", "node"])
+        for keys, nodes, _, many in shown(batches, shingle, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([brief(x) for x in nodes], np.int64), many))], names=["key", "node"])
 
-    met = docs.select("text").mapInArrow(gathered(run), "key long, node long").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    met = docs.select("text").mapInArrow(run, "key long, node long").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     return met.filter("lo <> hi").select("key")
 
 
@@ -135,29 +159,30 @@ def bucket_members(docs: DataFrame, shared: DataFrame, shingle: int, percent: in
     sent = docs.sparkSession.sparkContext.broadcast(sieve.build(shared, "key", sieve.sized(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, items in different_sets(batch.column("text"), shingle):
-                keys = signatures(items, percent).view(np.int64)
-                keys = keys[sieve.holds(sent.value, keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * len(keys), pa.binary()), pa.array(np.full(len(keys), len(items)))], names=["key", "node", "n"])
+        for keys, nodes, sizes, many in shown(batches, shingle, percent):
+            keep = np.flatnonzero(sieve.holds(sent.value, keys))
+            of = np.repeat(np.arange(len(nodes)), many)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes, pa.binary()).take(pa.array(of)), pa.array(sizes[of])], names=["key", "node", "n"])
 
-    return docs.select("text").mapInArrow(gathered(run), "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
+    return docs.select("text").mapInArrow(run, "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
 
 
-def _fitting(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs of ``rows`` (node, n, other, m), each once, whose sizes allow the similarity."""
-    fit = rows.filter((F.col("node") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    return fit.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+def likeliest(met: DataFrame, percent: int) -> DataFrame:
+    """Of rows (node, n, other, m), one for each shared signature, the pair of each node with the partner that
+    shares most signatures, of those whose sizes allow the similarity."""
+    fit = met.filter((F.col("node") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    counted = fit.groupBy("node", "other").agg(F.count("*").alias("many"))
+    best = counted.groupBy("node").agg(F.max_by("other", F.struct("many", "other")).alias("other"))
+    return best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another one. ``marked`` is the sketch of ``docs``."""
     shared = save(shared_keys(docs, shingle, percent), "shared")
     members = save(bucket_members(docs, shared, shingle, percent), "members")
-    # The centre differs from key to key, so that a node meets several of its kin.
     turn = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))
     centre = members.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m")), turn).alias("c")).select("key", "c.*")
-    pairs = save(_fitting(members.join(centre, "key"), percent), "pairs")
+    pairs = save(likeliest(members.join(centre, "key"), percent), "pairs")
     nodes = members.select("node").distinct()
     sets = save(sets_of(docs, marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), shingle), "sets")
     first = components(verified(pairs, sets, percent))
@@ -165,9 +190,9 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     sized = members.select("node", "n").distinct()
     chosen = [F.min_by(F.struct(F.col("node").alias("other"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(32)))) for k in range(SECOND)]
     centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("c")).select("key", F.inline("c")), "centres")
-    others = apart.join(centres, "key").filter("component <> c").select("node", "other").distinct()
-    others = _fitting(others.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other"), percent)
-    second = save(others.join(pairs, ["a", "b"], "left_anti"), "second")
+    others = apart.join(centres, "key").filter("component <> c").select("node", "other")
+    others = others.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other")
+    second = save(likeliest(others, percent).join(pairs, ["a", "b"], "left_anti"), "second")
     parts = joined(first, verified(second, sets, percent))
     left = save(unsettled(members.select("key", "node"), parts).select("node").distinct(), "left")
     rest = save(sets.join(left, "node", "left_semi"), "rest")
