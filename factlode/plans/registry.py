@@ -13,7 +13,7 @@ from factlode.sources.fixtures import with_fixtures
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("facts", "formulas", "market", "ops", "corpus", "search", "language", "fusion", "retrieval", "reports")
+MODULES = ("facts", "formulas", "market", "ops", "corpus", "search", "language", "fusion", "retrieval", "reports", "tables", "grounding", "semantic", "names")
 
 
 def register(name: str, query: Callable, sql: str | None = None) -> None:
@@ -35,6 +35,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"factlode.operators.{m}")
+    importlib.import_module("factlode.streaming.requests")
 
 
 def queries() -> dict[str, Callable]:

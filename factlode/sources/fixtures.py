@@ -82,6 +82,39 @@ FIXTURES["facts"] = "SELECT symbol, year, quarter, metric_key, metric_value, 'st
 # One row for each symbol, year: the fourth quarter, else the latest.
 FIXTURES["annual"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, year ORDER BY CASE WHEN quarter = 'Q4' THEN 0 ELSE 1 END, quarter DESC) AS rn FROM facts_wide) q WHERE rn = 1"
 
+_INT = "CAST(CAST(floor({0}) AS BIGINT) AS STRING)"
+_COMMAS = "concat(CAST(CAST(floor({0} / 1000) AS BIGINT) AS STRING), ',', lpad(CAST(CAST(floor({0}) AS BIGINT) % 1000 AS STRING), 3, '0'))"
+_ROW = "chr(10), '| {0} | ', {1}, ' | ', {2}, ' |'"
+#: A page of a report: text, a table whose header mostly has the year, one that has none, and one too short to count.
+FIXTURES["statement_pages"] = f"""
+SELECT concat(symbol, '-', CAST(year AS STRING)) AS doc_id, symbol, year,
+       concat('合并财务报表', chr(10), '单位：元 | 币种：人民币', chr(10),
+              '| 项目 | ', CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN '本期' ELSE concat(CAST(year AS STRING), '年') END, ' | 上期 |', chr(10), '| --- | --- | --- |',
+              {_ROW.format("一、营业收入", _COMMAS.format("revenue"), "'1'")}, {_ROW.format("减：营业成本", _INT.format("cost_of_revenue"), "'-'")},
+              {_ROW.format("销售费用", "'不适用'", _INT.format("selling_expenses"))}, {_ROW.format("净利润", "'--'", _INT.format("net_profit"))},
+              {_ROW.format("其他", "'5'", "'6'")}, {_ROW.format("", "'7'", "'8'")}, {_ROW.format("商誉", "'0'", "'9000000000000000'")},
+              chr(10), '附注：金额按四舍五入列示。', chr(10), '| 单独一行 |', chr(10), '说明', chr(10),
+              '| 项目 | 期末余额 | 期初余额 |', chr(10), '|---|---|---|',
+              {_ROW.format("资产总计", _COMMAS.format("total_assets"), "'2'")}, {_ROW.format("非流动负债合计", _INT.format("total_liabilities / 4"), "'3'")},
+              {_ROW.format("流动负债合计", _INT.format("current_liabilities"), "'4'")}, {_ROW.format("负债合计", _INT.format("total_liabilities"), "'0'")},
+              {_ROW.format("营业收入合计", _INT.format("revenue"), "'0'")},
+              CASE WHEN CAST(symbol AS INT) % 4 = 0 THEN concat(chr(10), '续表', chr(10), '| 项目 | ', CAST(year - 1 AS STRING), ' 年末 |', chr(10), '|---|---|', chr(10), '| 存货 | ', {_INT.format("inventory")}, ' |') ELSE '' END) AS text
+FROM annual"""
+#: What a report may say, and a report that says it, now and then wrongly.
+FIXTURES["report_values"] = """
+SELECT report_id, name, value FROM (
+  SELECT concat(symbol, '-', CAST(year AS STRING)) AS report_id, '营业收入' AS name, floor(revenue) AS value FROM annual
+  UNION ALL SELECT concat(symbol, '-', CAST(year AS STRING)), '营业成本', floor(cost_of_revenue) FROM annual
+  UNION ALL SELECT concat(symbol, '-', CAST(year AS STRING)), '净利润', floor(net_profit) FROM annual
+  UNION ALL SELECT concat(symbol, '-', CAST(year AS STRING)), '毛利率', floor((revenue - cost_of_revenue) / revenue * 10000) / 100 FROM annual WHERE revenue <> 0) v"""
+FIXTURES["reports"] = f"""
+SELECT concat(symbol, '-', CAST(year AS STRING)) AS report_id, symbol, year,
+       concat('# 报告', chr(10), '营业收入为', {_INT.format("revenue")}, '元，营业成本', {_INT.format("cost_of_revenue * (CASE WHEN year % 3 = 0 THEN 1.5 ELSE 1 END)")}, '元。', chr(10),
+              '|---|:--:|', chr(10), '[置信度: 95%] ', CAST(year AS STRING), '年基数100，共12项。毛利为', {_INT.format("revenue - cost_of_revenue")}, '元。',
+              repeat('以上为正文说明。', CAST(CAST(symbol AS INT) % 90 AS INT)), '净利润', CASE WHEN CAST(symbol AS INT) % 7 = 0 THEN '未披露' ELSE '为' END,
+              repeat('，', CAST(CAST(symbol AS INT) % 11 * 60 AS INT)), {_INT.format("abs(net_profit)")}, '元，折合', CAST(CAST(floor(abs(net_profit) / 100 + 0.5) AS BIGINT) / 100 AS STRING), '万元。') AS text
+FROM annual WHERE revenue IS NOT NULL AND cost_of_revenue IS NOT NULL AND net_profit IS NOT NULL"""
+
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -101,6 +134,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return latest_quarter(fixture(spark, sf_dir, "facts_wide"), ["symbol", "year"])
     sql = FIXTURES[name]
     frames = {t: base(spark, sf_dir, t) for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    frames |= {f: fixture(spark, sf_dir, f) for f in FIXTURES if re.search(rf"\b(FROM|JOIN) {f}\b", sql)}
     for t in frames:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **frames) if frames else spark.sql(sql)

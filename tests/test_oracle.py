@@ -11,6 +11,8 @@ from factlode.plans import registry
 NAMES = sorted(registry.oracle_sql())
 SEARCH = ("match_companies", "match_metrics", "extract_years", "metric_query", "bm25_index", "bm25_search", "mrr", "recall_at_k", "ndcg_at_k")
 LANGUAGE = ("split_sentences", "parse_value_unit", "sanitize_text", "document_filter", "key_map_exact", "key_map_fuzzy", "resolve_anaphora")
+TABLES = ("parse_markdown_tables", "table_year", "carry_table_year", "label_metrics", "extract_table_facts", "semantic_boundaries")
+CHECKS = ("number_verification", "number_grounding", "indicator_association", "symbol_resolve", "entity_from_filename", "stream_request_stats", "usage_stream")
 FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
 
@@ -31,7 +33,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted({*NAMES[::4], *SEARCH, *LANGUAGE, *FUSION}))
+@pytest.mark.parametrize("name", sorted({*NAMES[::4], *SEARCH, *LANGUAGE, *FUSION, *TABLES, *CHECKS}))
 def test_matches_duckdb(spark, sf, duck, name):
     got = registry.queries()[name](spark, sf)
     want = duck.sql(registry.oracle_sql()[name])
