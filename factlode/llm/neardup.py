@@ -160,7 +160,32 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataF
             sets = dict(different_sets(batch.column("text"), shingle))
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return docs.select("at", "text").mapInArrow(run, "node binary, items array<long>").dropDuplicates(["node"])
+    return docs.select("at", "text").mapInArrow(run, "node binary, items array<long>")
+
+
+def once(sets: DataFrame, wanted: int) -> DataFrame:
+    """``sets`` (saved) with each node once, where many rows are repeated; a few repeated ones only repeat a verdict."""
+    if sets.count() <= 2 * wanted:
+        return sets
+    out = save(sets.dropDuplicates(["node"]), "sets")
+    forget(sets)
+    return out
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def thinned(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose node is among ``nodes``, and a few others that a filter passes; none is exchanged."""
+    keys = nodes.select(F.xxhash64("node").alias("key"))
+    sent = sets.sparkSession.sparkContext.broadcast(sieve.build(keys, "key", sieve.sized(keys.count())))
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(sieve.holds(sent.value, key.to_numpy()))
+
+    return sets.filter(maybe(F.xxhash64("node")))
 
 
 def promising(rows: DataFrame, agree: int = AGREE) -> DataFrame:
@@ -194,6 +219,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = thinned(sets, ends_of(pairs))
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
@@ -349,7 +375,7 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = save(promising(met.select(*_pairs("node", "b"), "n", "m", "x", "y")).distinct(), "pairs")
     # One row of each node is read again: ``at`` tells apart rows of one doc_id with different texts.
     rows_of = save(sketch.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
-    sets = save(sets_of(docs, rows_of), "sets")
+    sets = once(save(sets_of(docs, rows_of), "sets"), rows_of.count())
     first = components(verified(pairs, sets))
     # Once more, only for what is still apart: nodes against centres of other components.
     apart = unsettled(members, first)
@@ -368,12 +394,12 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     forget(shared, members, nodes, signed, rows_of, centres, apart, first, sets, spread, placed)
     if more.isEmpty():
         return parts
-    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    ends = ends_of(more)
     of_ends = sketch.filter("keys IS NOT NULL").select("node", F.col("n_shingles").alias("n"), "sign").join(ends, "node", "left_semi").dropDuplicates(["node"])
     third = save(promising(with_signs(more, of_ends), SURELY), "third")
-    ends = third.select(F.col("a").alias("node")).unionByName(third.select(F.col("b").alias("node"))).distinct()
+    ends = ends_of(third)
     rows_of = save(sketch.filter("node IS NOT NULL").join(ends, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
-    sets = save(sets_of(docs, rows_of), "sets")
+    sets = once(save(sets_of(docs, rows_of), "sets"), rows_of.count())
     out = joined(parts, verified(third, sets))
     forget(more, third, rows_of, sets, parts)
     return out

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from . import sieve
 from . import textkit as tk
 from .common import forget, ids_and_text, save, table
-from .neardup import across, brief, components, different_sets, digest, joined, prefixes, sets_of, shingle_sets, unsettled, verified
+from .neardup import across, brief, components, different_sets, digest, joined, once, prefixes, sets_of, shingle_sets, thinned, unsettled, verified
 
 SHINGLE, PERCENT = 4, 85
 U64 = np.uint64
@@ -110,7 +110,7 @@ def signatures(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, at (a hash of the text), n_shingles and node of each row."""
+    """doc_id, at (a hash of id and text), n_shingles and node of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,8 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     centre = members.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m")), turn).alias("c")).select("key", "c.*")
     pairs = save(likeliest(members.join(centre, "key"), percent), "pairs")
     nodes = members.select("node").distinct()
-    sets = save(sets_of(docs, marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), shingle), "sets")
+    rows_of = save(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
+    sets = once(save(sets_of(docs, rows_of, shingle), "sets"), rows_of.count())
     first = components(verified(pairs, sets, percent))
     apart = unsettled(members.select("key", "node"), first)
     sized = members.select("node", "n").distinct()
@@ -195,13 +196,13 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     second = save(likeliest(others, percent).join(pairs, ["a", "b"], "left_anti"), "second")
     parts = joined(first, verified(second, sets, percent))
     left = save(unsettled(members.select("key", "node"), parts).select("node").distinct(), "left")
-    rest = save(sets.join(left, "node", "left_semi"), "rest")
+    rest = save(thinned(sets, left), "rest")
     total = rest.agg(F.sum(F.size("items"))).first()[0] or 0
     prefix, spread = prefixes(rest, _read, total, percent)
     more, placed = across(prefix, parts, percent)
     third = save(more.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
     out = joined(parts, verified(third, sets, percent))
-    forget(shared, members, pairs, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
+    forget(shared, members, pairs, rows_of, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
     return out
 
 
@@ -212,7 +213,7 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
-    source = ids_and_text(docs).withColumn("at", F.xxhash64("text"))
+    source = ids_and_text(docs).withColumn("at", F.xxhash64("doc_id", "text"))
     marked = save(sketch(source, shingle), "sketch")
     known = marked.filter("node IS NOT NULL")
     found = linked(source, known, shingle, percent)
