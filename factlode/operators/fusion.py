@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlode.operators.search import HITS_SQL, SEARCH_SQL, WORDS_SQL, bm25_search, hits, postings, words_of
+from factlode.operators.search import FOUND_SQL, PRECISION_SQL, SEARCH_SQL, WORDS_SQL, bm25_search, hits, postings, precision, words_of
 from factlode.plans.registry import query
 from factlode.sources.fixtures import base
 
@@ -107,6 +107,6 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return rrf_fuse(spark, d).join(docs, "doc_id").select("item_id", "rank", "doc_id", "snippet", "score")
 
 
-@query("precision_at_k", f"SELECT item_id, SUM(CASE WHEN relevant AND rank <= 1 THEN 1 ELSE 0 END) / 1e0 AS at_1, SUM(CASE WHEN relevant AND rank <= 3 THEN 1 ELSE 0 END) / 3e0 AS at_3, SUM(CASE WHEN relevant AND rank <= 5 THEN 1 ELSE 0 END) / 5e0 AS at_5 FROM ({HITS_SQL}) h GROUP BY item_id")
+@query("precision_at_k", f"SELECT item_id, {', '.join(f'{PRECISION_SQL.format(k)} AS at_{k}' for k in (1, 3, 5))} FROM ({FOUND_SQL}) h GROUP BY item_id")
 def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return hits(spark, d).groupBy("item_id").agg(*((F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)) / float(k)).alias(f"at_{k}") for k in (1, 3, 5)))
+    return hits(spark, d).groupBy("item_id").agg(*(precision(k).alias(f"at_{k}") for k in (1, 3, 5)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlode.operators.fusion import RRF_SQL, fuse, overlaps, rrf_fuse
-from factlode.operators.search import HITS_SQL, SEARCH_SQL, bm25, hits
+from factlode.operators.search import FOUND_SQL, NDCG_SQL, PRECISION_SQL, RECALL_SQL, RR_SQL, SCORES_SQL, SEARCH_SQL, TOP, bm25, hits, ndcg, precision, recall, reciprocal_rank
 from factlode.plans.registry import query
 from factlode.sources.fixtures import base, fixture
 
@@ -30,24 +30,31 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Questions name a nation, whose documents weigh more, and years, which count where a file name has one.
-ASKED_SQL = SEARCH_SQL.replace("FROM benchmark", "FROM (SELECT qid AS item_id, query AS text FROM questions) asked")
-BOOST_SQL = f"""SELECT s.item_id, s.doc_id, score * (CASE WHEN c.entity = concat('NATION_', CAST(n.n_nationkey AS VARCHAR)) THEN 1.5e0 ELSE 1e0 END)
- * (CASE WHEN contains(q.query, regexp_extract(c.source, '_([0-9]{{4}})[.]', 1)) THEN 1.2e0 ELSE 1e0 END) AS score
-FROM ({ASKED_SQL}) s JOIN corpus c ON s.doc_id = c.doc_id JOIN questions q ON q.qid = s.item_id LEFT JOIN nation n ON n.n_name = regexp_extract(q.query, '^(.*?) 20[0-9]{{2}}', 1)"""
+ASKED_SQL = SCORES_SQL.replace("FROM benchmark", "FROM (SELECT qid AS item_id, query AS text FROM questions) asked")
+BOOST_SQL = f"""SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (
+SELECT s.item_id, s.doc_id, score * (CASE WHEN c.entity = concat('NATION_', CAST(n.n_nationkey AS VARCHAR)) THEN 1.5e0 ELSE 1e0 END)
+ * (CASE WHEN regexp_matches(c.source, '_[0-9]{{4}}[.]') AND contains(q.query, regexp_extract(c.source, '_([0-9]{{4}})[.]', 1)) THEN 1.2e0 ELSE 1e0 END) AS score
+FROM ({ASKED_SQL}) s JOIN corpus c ON s.doc_id = c.doc_id JOIN questions q ON q.qid = s.item_id LEFT JOIN nation n ON n.n_name = regexp_extract(q.query, '^(.*?) 20[0-9]{{2}}', 1)) x) y WHERE rank <= {TOP}"""
 RANKED_SQL = f"SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ({BOOST_SQL}) b"
 
 
+def boosted(docs: DataFrame, corpus: DataFrame, asked: DataFrame, nations: DataFrame, top: int = TOP) -> DataFrame:
+    """item_id, doc_id, score of the ``top`` documents of each question (qid, query): every score is multiplied by 1.5 for a
+    document of the question's nation and by 1.2 for one whose file name has a year that it names; the best are kept after that."""
+    found = bm25(docs, asked.select(F.col("qid").alias("item_id"), F.col("query").alias("text")), top=None)
+    wanted = nations.select("n_name", F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("wanted"))
+    named = asked.withColumn("n_name", F.regexp_extract("query", "^(.*?) 20[0-9]{2}", 1)).join(wanted, "n_name", "left").select(F.col("qid").alias("item_id"), "query", "wanted")
+    rows = found.join(corpus.select("doc_id", "entity", "source"), "doc_id").join(named, "item_id")
+    entity = F.when(F.col("entity") == F.col("wanted"), 1.5).otherwise(1.0)
+    year = F.regexp_extract("source", "_([0-9]{4})[.]", 1)
+    score = F.col("score") * entity * F.when((year != "") & F.contains("query", year), 1.2).otherwise(1.0)
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    return rows.select("item_id", "doc_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("rank")
+
+
 @query("boosts", BOOST_SQL)
 def boosts(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of a question's documents: 1.5 times for its nation's, 1.2 times for those of a year it names."""
-    asked = fixture(spark, d, "questions")
-    found = bm25(base(spark, d, "documents"), asked.select(F.col("qid").alias("item_id"), F.col("query").alias("text")))
-    nations = base(spark, d, "nation").select("n_name", F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("wanted"))
-    named = asked.withColumn("n_name", F.regexp_extract("query", "^(.*?) 20[0-9]{2}", 1)).join(nations, "n_name", "left").select(F.col("qid").alias("item_id"), "query", "wanted")
-    rows = found.join(fixture(spark, d, "corpus").select("doc_id", "entity", "source"), "doc_id").join(named, "item_id")
-    entity = F.when(F.col("entity") == F.col("wanted"), 1.5).otherwise(1.0)
-    year = F.when(F.contains("query", F.regexp_extract("source", "_([0-9]{4})[.]", 1)), 1.2).otherwise(1.0)
-    return rows.select("item_id", "doc_id", (F.col("score") * entity * year).alias("score"))
+    return boosted(base(spark, d, "documents"), fixture(spark, d, "corpus"), fixture(spark, d, "questions"), base(spark, d, "nation"))
 
 
 @query("rank_results", RANKED_SQL)
@@ -99,34 +106,32 @@ def quotations(spark: SparkSession, d: str) -> DataFrame:
     return rrf_fuse(spark, d).filter("rank <= 3").join(docs, "doc_id").select("item_id", "rank", "doc_id", "quotation", sure.alias("confidence"))
 
 
-MEASURES_SQL = f"SELECT item_id, coalesce(1e0 / MIN(CASE WHEN relevant THEN rank END), 0e0) AS rr, " + ", ".join(
-    f"CAST(MAX(CASE WHEN relevant AND rank <= {k} THEN 1 ELSE 0 END) AS DOUBLE) AS hit_{k}, SUM(CASE WHEN relevant AND rank <= {k} THEN 1 ELSE 0 END) / {k}e0 AS precision_{k}" for k in (1, 3, 5)
-) + f" FROM ({HITS_SQL}) h GROUP BY item_id"
+MEASURES_SQL = f"SELECT item_id, {RR_SQL} AS rr, {NDCG_SQL} AS ndcg_5, {', '.join(f'{RECALL_SQL.format(k)} AS recall_{k}, {PRECISION_SQL.format(k)} AS precision_{k}' for k in (1, 3, 5))} FROM ({FOUND_SQL}) h GROUP BY item_id"
+NAMES = ("rr", "ndcg_5", "recall_1", "recall_3", "recall_5", "precision_5")
 
 
 @query("evaluate_retrieval", MEASURES_SQL)
 def evaluate_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """All measures of each question in one pass over its ranked results."""
-    good = lambda k: F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)
-    parts = [x for k in (1, 3, 5) for x in (F.max(good(k)).cast("double").alias(f"hit_{k}"), (F.sum(good(k)) / float(k)).alias(f"precision_{k}"))]
-    rr = F.coalesce(1.0 / F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0.0))
-    return hits(spark, d).groupBy("item_id").agg(rr.alias("rr"), *parts)
+    parts = [x for k in (1, 3, 5) for x in (recall(k).alias(f"recall_{k}"), precision(k).alias(f"precision_{k}"))]
+    return hits(spark, d).groupBy("item_id").agg(reciprocal_rank().alias("rr"), ndcg().alias("ndcg_5"), *parts)
 
 
 MEAN = "floor(avg({0}) * 1000000 + 0.5) / 1000000 AS {0}"
-LEVEL_SQL = "CASE CAST(item_id AS BIGINT) % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END"
+# Long questions are harder to answer in the first documents.
+LEVEL_SQL = "CASE WHEN length(text) < 120 THEN 'easy' WHEN length(text) < 240 THEN 'medium' ELSE 'hard' END"
 
 
-@query("batch_evaluate", f"SELECT coalesce(difficulty, 'all') AS difficulty, COUNT(*) AS n, {', '.join(MEAN.format(c) for c in ('rr', 'hit_1', 'hit_3', 'hit_5'))} FROM (SELECT *, {LEVEL_SQL} AS difficulty FROM ({MEASURES_SQL}) m) g GROUP BY GROUPING SETS ((difficulty), ())")
+@query("batch_evaluate", f"SELECT coalesce(difficulty, 'all') AS difficulty, COUNT(*) AS n, {', '.join(MEAN.format(c) for c in NAMES)} FROM (SELECT m.*, {LEVEL_SQL} AS difficulty FROM ({MEASURES_SQL}) m JOIN benchmark b ON m.item_id = b.item_id) g GROUP BY GROUPING SETS ((difficulty), ())")
 def batch_evaluate(spark: SparkSession, d: str) -> DataFrame:
     """Mean measures overall and by difficulty."""
-    level = F.expr("CASE CAST(item_id AS BIGINT) % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END")
-    means = [(F.floor(F.avg(c) * 1000000 + 0.5) / 1000000).alias(c) for c in ("rr", "hit_1", "hit_3", "hit_5")]
-    rows = evaluate_retrieval(spark, d).withColumn("difficulty", level).rollup("difficulty").agg(F.count("*").alias("n"), *means)
+    levels = base(spark, d, "benchmark").select("item_id", F.expr(LEVEL_SQL).alias("difficulty"))
+    means = [(F.floor(F.avg(c) * 1000000 + 0.5) / 1000000).alias(c) for c in NAMES]
+    rows = evaluate_retrieval(spark, d).join(levels, "item_id").rollup("difficulty").agg(F.count("*").alias("n"), *means)
     return rows.withColumn("difficulty", F.coalesce("difficulty", F.lit("all")))
 
 
-@query("quality_suggestion", f"SELECT item_id, CASE WHEN hit_5 < 0.7 THEN 'widen the search' WHEN precision_5 < 0.2 THEN 'tighten the filter' ELSE 'good' END AS suggestion FROM ({MEASURES_SQL}) m")
+@query("quality_suggestion", f"SELECT item_id, CASE WHEN recall_5 < 0.7 THEN 'widen the search' WHEN precision_5 < 0.2 THEN 'tighten the filter' ELSE 'good' END AS suggestion FROM ({MEASURES_SQL}) m")
 def quality_suggestion(spark: SparkSession, d: str) -> DataFrame:
-    advice = F.when(F.col("hit_5") < 0.7, "widen the search").when(F.col("precision_5") < 0.2, "tighten the filter").otherwise("good")
+    advice = F.when(F.col("recall_5") < 0.7, "widen the search").when(F.col("precision_5") < 0.2, "tighten the filter").otherwise("good")
     return evaluate_retrieval(spark, d).select("item_id", advice.alias("suggestion"))

@@ -89,6 +89,9 @@ SELECT item_id, doc_id, CAST(SUM(qtf * CAST(floor((CASE WHEN idf < 0 THEN {EPSIL
 FROM q JOIN p ON q.term = p.term JOIN i ON i.term = p.term, m, s GROUP BY 1, 2) a) b WHERE rank <= {TOP}"""
 
 
+SCORES_SQL = SEARCH_SQL.split("FROM (\n", 1)[1].rsplit(") a) b", 1)[0]
+
+
 def words_of(text: Column) -> Column:
     return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower), F.array().cast("array<string>"))
 
@@ -104,8 +107,8 @@ def bm25_index(spark: SparkSession, d: str) -> DataFrame:
     return postings(base(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
-def bm25(docs: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
-    """The ``top`` documents of each (item_id, text): item_id, doc_id, rank, score.
+def bm25(docs: DataFrame, asked: DataFrame, top: int | None = TOP) -> DataFrame:
+    """The ``top`` documents of each (item_id, text): item_id, doc_id, rank, score; without ``top``, every score, unranked.
 
     Only postings of asked terms are joined and summed; the two one-row aggregates reach
     every task as scalars."""
@@ -120,6 +123,8 @@ def bm25(docs: DataFrame, asked: DataFrame, top: int = TOP) -> DataFrame:
     part = weight * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
     millionths = F.sum(F.col("qtf") * F.floor(part * 1000000 + 0.5).cast("long"))
     scored = known.join(index, "term").groupBy("item_id", "doc_id").agg((millionths.cast("double") / 1000000).alias("score"))
+    if top is None:
+        return scored
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("item_id", "doc_id", "rank", "score")
 
@@ -129,28 +134,68 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return bm25(base(spark, d, "documents"), base(spark, d, "benchmark"))
 
 
-# A result is relevant where the document holds the item's opening words.
-HITS_SQL = f"SELECT s.item_id, s.rank, contains(t.text, substr(b.text, 1, 40)) AS relevant FROM ({SEARCH_SQL}) s JOIN documents t ON s.doc_id = t.doc_id JOIN benchmark b ON s.item_id = b.item_id"
+# An item's expected keywords are its ``KEYWORDS`` longest different words; a document is judged by those it holds.
+KEYWORDS = 5
+PACKED_SQL = r"regexp_replace(regexp_replace({0}, '\s+', '', 'g'), '([0-9]),([0-9])', '\1\2', 'g')"
+KEYWORDS_SQL = f"SELECT item_id, list(word) AS words FROM (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, word) AS rn FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')) AS word FROM benchmark) a) b WHERE rn <= {KEYWORDS} GROUP BY item_id"
+FOUND_SQL = f"SELECT item_id, rank, list_filter(words, lambda w: contains(packed, w)) AS found, len(words) AS wanted FROM (SELECT s.item_id, s.rank, k.words, {PACKED_SQL.format('t.text')} AS packed FROM ({SEARCH_SQL}) s JOIN documents t ON s.doc_id = t.doc_id JOIN ({KEYWORDS_SQL}) k ON s.item_id = k.item_id) f"
+RECALL_SQL = "coalesce(len(list_distinct(flatten(list(found) FILTER (rank <= {0})))), 0) * 1e0 / MAX(wanted)"
+PRECISION_SQL = "COUNT(*) FILTER (rank <= {0} AND len(found) > 0) / {0}e0"
+RR_SQL = "coalesce(1e0 / MIN(rank) FILTER (len(found) > 0), 0e0)"
+IDEAL_SQL = "CASE least(MAX(wanted), 5) " + " ".join(f"WHEN {n} THEN {sum(1 / __import__('math').log2(i + 1) for i in range(1, n + 1))!r}" for n in range(1, 6)) + " END"
+NDCG_SQL = f"floor(SUM(len(found) / log2(rank + 1)) FILTER (rank <= 5) / ({IDEAL_SQL}) * 1000000 + 0.5) / 1000000"
+
+
+def keywords(text: Column) -> Column:
+    different = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    ordered = F.array_sort(F.transform(different, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(ordered, 1, KEYWORDS), lambda x: x["w"])
+
+
+def packed(text: Column) -> Column:
+    """A text without white space and without commas between digits."""
+    return F.regexp_replace(F.regexp_replace(text, r"\s+", ""), "([0-9]),([0-9])", "$1$2")
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    docs, asked = base(spark, d, "documents").select("doc_id", "text"), base(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("opening"))
-    return bm25_search(spark, d).join(docs, "doc_id").join(asked, "item_id").select("item_id", "rank", contains(F.col("text"), F.col("opening")).alias("relevant"))
+    """item_id, rank, found (those of the item's keywords that the document at this rank holds) and wanted (how many it has)."""
+    docs = base(spark, d, "documents").select("doc_id", "text")
+    asked = base(spark, d, "benchmark").select("item_id", keywords(F.col("text")).alias("words"))
+    rows = bm25_search(spark, d).join(docs, "doc_id").join(asked, "item_id").filter(F.size("words") > 0).withColumn("packed", packed(F.col("text")))
+    return rows.select("item_id", "rank", F.filter("words", lambda w: contains(F.col("packed"), w)).alias("found"), F.size("words").alias("wanted"))
+
+
+def recall(k: int) -> Column:
+    """The share of an item's keywords that its first k documents hold."""
+    return F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= k, F.col("found")))))) * F.lit(1.0) / F.max("wanted")
+
+
+def precision(k: int) -> Column:
+    """The share of the first k documents that hold a keyword."""
+    return F.count_if((F.col("rank") <= k) & (F.size("found") > 0)) / float(k)
+
+
+def reciprocal_rank() -> Column:
+    return F.coalesce(1.0 / F.min(F.when(F.size("found") > 0, F.col("rank"))), F.lit(0.0))
+
+
+def ndcg(k: int = 5) -> Column:
+    """Keywords found, discounted by rank, over one keyword at each of the first ranks."""
+    gain = F.sum(F.when(F.col("rank") <= k, F.size("found") / F.log2(F.col("rank") + 1)))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.max("wanted"), F.lit(k))), F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1))
+    return F.floor(gain / ideal * 1000000 + 0.5) / 1000000
 
 
-@query("mrr", f"SELECT item_id, coalesce(1e0 / MIN(CASE WHEN relevant THEN rank END), 0) AS rr FROM ({HITS_SQL}) h GROUP BY item_id")
+@query("mrr", f"SELECT item_id, {RR_SQL} AS rr FROM ({FOUND_SQL}) h GROUP BY item_id")
 def mrr(spark: SparkSession, d: str) -> DataFrame:
-    first = F.min(F.when(F.col("relevant"), F.col("rank")))
-    return hits(spark, d).groupBy("item_id").agg(F.coalesce(1.0 / first, F.lit(0.0)).alias("rr"))
+    return hits(spark, d).groupBy("item_id").agg(reciprocal_rank().alias("rr"))
 
 
-@query("recall_at_k", f"SELECT item_id, MAX(CASE WHEN relevant AND rank <= 1 THEN 1 ELSE 0 END) AS at_1, MAX(CASE WHEN relevant AND rank <= 3 THEN 1 ELSE 0 END) AS at_3, MAX(CASE WHEN relevant AND rank <= 5 THEN 1 ELSE 0 END) AS at_5 FROM ({HITS_SQL}) h GROUP BY item_id")
+@query("recall_at_k", f"SELECT item_id, {', '.join(f'{RECALL_SQL.format(k)} AS at_{k}' for k in (1, 3, 5))} FROM ({FOUND_SQL}) h GROUP BY item_id")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return hits(spark, d).groupBy("item_id").agg(*(F.max(F.when(F.col("relevant") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"at_{k}") for k in (1, 3, 5)))
+    return hits(spark, d).groupBy("item_id").agg(*(recall(k).alias(f"at_{k}") for k in (1, 3, 5)))
 
 
-@query("ndcg_at_k", f"SELECT item_id, floor(SUM(CASE WHEN relevant THEN 1e0 / log2(rank + 1) ELSE 0 END) / SUM(1e0 / log2(rank + 1)) * 1000000 + 0.5) / 1000000 AS ndcg FROM ({HITS_SQL}) h WHERE rank <= 5 GROUP BY item_id")
+@query("ndcg_at_k", f"SELECT item_id, {NDCG_SQL} AS ndcg FROM ({FOUND_SQL}) h GROUP BY item_id")
 def ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
-    gain = 1.0 / F.log2(F.col("rank") + 1)
-    share = F.sum(F.when(F.col("relevant"), gain).otherwise(0.0)) / F.sum(gain)
-    return hits(spark, d).filter("rank <= 5").groupBy("item_id").agg((F.floor(share * 1000000 + 0.5) / 1000000).alias("ndcg"))
+    return hits(spark, d).groupBy("item_id").agg(ndcg().alias("ndcg"))

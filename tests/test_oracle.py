@@ -12,6 +12,8 @@ NAMES = sorted(registry.oracle_sql())
 SEARCH = ("match_companies", "match_metrics", "extract_years", "metric_query", "bm25_index", "bm25_search", "mrr", "recall_at_k", "ndcg_at_k")
 LANGUAGE = ("split_sentences", "parse_value_unit", "sanitize_text", "document_filter", "key_map_exact", "key_map_fuzzy", "resolve_anaphora")
 TABLES = ("parse_markdown_tables", "table_year", "carry_table_year", "label_metrics", "extract_table_facts", "semantic_boundaries")
+SEARCH = (*SEARCH, "boosts", "rank_results", "topk_per_query", "evaluate_retrieval", "batch_evaluate", "quality_suggestion")
+FILES = ("scan_text_pages", "write_chunks", "clean_json_text", "udtf_chunks", "detect_industry")
 CHECKS = ("number_verification", "number_grounding", "indicator_association", "symbol_resolve", "entity_from_filename", "stream_request_stats", "usage_stream")
 FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
@@ -33,7 +35,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted({*NAMES[::4], *SEARCH, *LANGUAGE, *FUSION, *TABLES, *CHECKS}))
+@pytest.mark.parametrize("name", sorted({*NAMES[::4], *SEARCH, *LANGUAGE, *FUSION, *TABLES, *CHECKS, *FILES}))
 def test_matches_duckdb(spark, sf, duck, name):
     got = registry.queries()[name](spark, sf)
     want = duck.sql(registry.oracle_sql()[name])
