@@ -115,6 +115,43 @@ SELECT concat(symbol, '-', CAST(year AS STRING)) AS report_id, symbol, year,
               repeat('，', CAST(CAST(symbol AS INT) % 11 * 60 AS INT)), {_INT.format("abs(net_profit)")}, '元，折合', CAST(CAST(floor(abs(net_profit) / 100 + 0.5) AS BIGINT) / 100 AS STRING), '万元。') AS text
 FROM annual WHERE revenue IS NOT NULL AND cost_of_revenue IS NOT NULL AND net_profit IS NOT NULL"""
 
+#: Points of charts of every shape: amounts, flows of both signs, one and two ratios over years, shares, tasks of two companies, none.
+FIXTURES["chart_points"] = """
+SELECT chart, pos, label, value FROM (
+  SELECT concat('amounts-', symbol, '-', CAST(year AS STRING)) AS chart, 1 AS pos, 'revenue' AS label, revenue AS value FROM annual
+  UNION ALL SELECT concat('amounts-', symbol, '-', CAST(year AS STRING)), 2, '（营业成本）', cost_of_revenue FROM annual
+  UNION ALL SELECT concat('amounts-', symbol, '-', CAST(year AS STRING)), 3, concat('存货_', CAST(year AS STRING)), inventory FROM annual
+  UNION ALL SELECT concat('flows-', symbol), year * 2, concat('净流_', CAST(year AS STRING)), operating_cf FROM annual WHERE year % 2 = 0
+  UNION ALL SELECT concat('flows-', symbol), year * 2 + 1, 'financing', financing_cf FROM annual
+  UNION ALL SELECT concat('trend-', symbol), year, concat('net_profit_margin_', CAST(year AS STRING)), CASE WHEN revenue <> 0 THEN floor(net_profit / revenue * 100) END FROM annual
+  UNION ALL SELECT concat('double-', symbol), year, concat('roa_', CAST(year AS STRING)), CASE WHEN total_assets <> 0 THEN floor(net_profit / total_assets * 100) END FROM annual
+  UNION ALL SELECT concat('double-', symbol), year + 100, concat('ROE（净资产收益率）_', CAST(year AS STRING)), CASE WHEN total_equity <> 0 THEN floor(net_profit / total_equity * 100) END FROM annual
+  UNION ALL SELECT concat('shares-', symbol, '-', CAST(year AS STRING)), 1, 'A股', floor(cost_of_revenue / revenue * 100) + 1 FROM annual WHERE revenue <> 0
+  UNION ALL SELECT concat('shares-', symbol, '-', CAST(year AS STRING)), 2, 'B股', 100 - floor(cost_of_revenue / revenue * 100) FROM annual WHERE revenue <> 0
+  UNION ALL SELECT concat('scores-', symbol, '-', CAST(year AS STRING)), 1, 'current_ratio', floor(current_assets / total_assets * 30) + 1 FROM annual WHERE total_assets <> 0
+  UNION ALL SELECT concat('scores-', symbol, '-', CAST(year AS STRING)), 2, 'quick_ratio', floor(total_liabilities / total_assets * 30) + 1 FROM annual WHERE total_assets <> 0
+  UNION ALL SELECT concat('scores-', symbol, '-', CAST(year AS STRING)), 3, 'equity_multiplier', floor(receivables / total_assets * 3000) + 1 FROM annual WHERE total_assets <> 0
+  UNION ALL SELECT concat('tasks-', symbol), year * 3, concat('task', CAST(year % 3 AS STRING), '_gross_profit_margin_', CAST(year AS STRING)), floor(revenue / 1000) FROM annual
+  UNION ALL SELECT concat('tasks-', symbol), year * 3 + 1, '毛利率', 1 FROM annual
+  UNION ALL SELECT concat('none-', symbol), 1, CAST(NULL AS STRING), revenue FROM annual) c"""
+#: What companies' metrics were over the years, a sector's usual values, and comments that say how they moved.
+FIXTURES["comment_values"] = """
+SELECT symbol AS report_id, indicator, year, value FROM (
+  SELECT symbol, '营收' AS indicator, year, revenue AS value FROM annual
+  UNION ALL SELECT symbol, '净利润', year, net_profit FROM annual
+  UNION ALL SELECT symbol, '成本', year, cost_of_revenue FROM annual
+  UNION ALL SELECT symbol, '负债率', year, 50 FROM annual) v WHERE value IS NOT NULL"""
+FIXTURES["sector_benchmarks"] = """
+SELECT c.sector, 'gross' AS metric, CAST(floor(SUM(CAST(floor(a.revenue) AS DECIMAL(20,0))) / COUNT(*)) AS BIGINT) AS value
+FROM annual a JOIN companies c ON a.symbol = c.symbol WHERE a.revenue IS NOT NULL AND c.sector < 'R' GROUP BY c.sector"""
+FIXTURES["comments"] = f"""
+SELECT a.symbol AS report_id, c.sector,
+       concat(CAST(a.year AS STRING), '年营业收入为', {_INT.format("revenue")}, '元，营收同比', CASE WHEN CAST(a.symbol AS INT) % 2 = 0 THEN '增长' ELSE '下滑' END, '；净利润', {_INT.format("abs(net_profit)")}, ' 万元，',
+              CASE WHEN CAST(a.symbol AS INT) % 3 = 0 THEN '减少了净利润，' ELSE '净利润明显提升，' END, '成本费用', CASE WHEN CAST(a.symbol AS INT) % 5 = 0 THEN '缩水' ELSE '上涨' END, chr(10),
+              CASE WHEN CAST(a.symbol AS INT) % 4 = 0 THEN concat(CAST(a.year - 1 AS STRING), '年负债率下降至 50.5%，', CAST(a.year - 1 AS STRING), '年毛利率约40.25%，营收同比增长') ELSE '营收持平' END, chr(10),
+              CASE WHEN CAST(a.symbol AS INT) % 6 = 0 THEN '高于行业平均水平。' ELSE concat('参考值', substr(CAST(CAST(floor(a.revenue) AS BIGINT) AS STRING), 1, 3)) END, '经营活动产生的现金流净额', {_INT.format("abs(operating_cf)")}, '元') AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS last FROM annual) a JOIN companies c ON a.symbol = c.symbol WHERE a.last = 1 AND a.revenue IS NOT NULL AND a.net_profit IS NOT NULL AND a.operating_cf IS NOT NULL"""
+
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
