@@ -85,10 +85,15 @@ def normalize_accounts(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy(F.coalesce("mapped", "metric_key").alias("account")).agg(F.count("*").alias("n"))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+def last_of(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """One row for each key: the one last in ``order``, such as batch, then arrival in the batch."""
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+    return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Rows of both by key, the highest ``order`` winning."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return old.unionByName(new).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    return last_of(old.unionByName(new), keys, *order)
 
 
 UPSERT_SQL = """SELECT symbol, year, quarter, metric_key, metric_value, source FROM (
@@ -111,6 +116,25 @@ def facts_upsert(spark: SparkSession, d: str) -> DataFrame:
     return _upserted(spark, d, "batch")
 
 
+@query("facts_upsert_arrivals", """SELECT symbol, year, quarter, metric_key, metric_value, source FROM (
+SELECT *, row_number() OVER (PARTITION BY symbol, year, quarter, metric_key ORDER BY seq DESC, arrival DESC) AS rn FROM (
+SELECT symbol, year, quarter, metric_key, metric_value, source, 0 AS seq, 0 AS arrival FROM facts
+UNION ALL SELECT symbol, year, quarter, metric_key, metric_value * 2, 'batch', 1, 1 FROM facts WHERE metric_key = 'revenue'
+UNION ALL SELECT symbol, year, quarter, metric_key, metric_value * 3, 'batch', 1, 2 FROM facts WHERE metric_key = 'revenue' AND symbol % 2 = 0
+UNION ALL SELECT symbol, year + 10, quarter, metric_key, metric_value, 'batch', 1, 3 FROM facts WHERE metric_key = 'eps') u) q WHERE rn = 1""".replace("symbol % 2", "CAST(symbol AS INT) % 2"))
+def facts_upsert_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """A batch that names a key twice: its last arrival wins. Old and new rows come from one reading, met by one window."""
+    revenue, even = F.col("metric_key") == "revenue", F.col("symbol").cast("int") % 2 == 0
+    row = lambda seq, arrival, year, value, source: F.struct(F.lit(seq).alias("seq"), F.lit(arrival).alias("arrival"), year.alias("year"), value.alias("metric_value"), source.alias("source"))
+    year, value, batch = F.col("year"), F.col("metric_value"), F.lit("batch")
+    versions = F.array(
+        row(0, 0, year, value, F.col("source")), F.when(revenue, row(1, 1, year, value * 2, batch)),
+        F.when(revenue & even, row(1, 2, year, value * 3, batch)), F.when(F.col("metric_key") == "eps", row(1, 3, year + 10, value, batch)),
+    )
+    rows = fixture(spark, d, "facts").select("symbol", "quarter", "metric_key", F.explode(F.filter(versions, lambda v: v.isNotNull())).alias("v")).select("symbol", "quarter", "metric_key", "v.*")
+    return last_of(rows, ["symbol", "year", "quarter", "metric_key"], "seq", "arrival").select("symbol", "year", "quarter", "metric_key", "metric_value", "source")
+
+
 @query("table_facts_sink", UPSERT_SQL.format(source="rule_extraction"))
 def table_facts_sink(spark: SparkSession, d: str) -> DataFrame:
     return _upserted(spark, d, "rule_extraction")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factlode.operators.fusion import RRF_SQL, fuse, overlaps, rrf_fuse
-from factlode.operators.search import FOUND_SQL, NDCG_SQL, PRECISION_SQL, RECALL_SQL, RR_SQL, SCORES_SQL, SEARCH_SQL, TOP, bm25, hits, ndcg, precision, recall, reciprocal_rank
+from factlode.operators.search import FOUND_SQL, NDCG_SQL, PRECISION_SQL, RECALL_SQL, RR_SQL, SCORES_SQL, SEARCH_SQL, TOP, WORDS_SQL, bm25, hits, ndcg, precision, recall, reciprocal_rank
 from factlode.plans.registry import query
 from factlode.sources.fixtures import base, fixture
 
@@ -24,11 +24,27 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PIECES), F.lit(0)), split))
 
 
-@query("tokenize", f"SELECT doc_id, array_to_string(flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{PIECES}'), lambda m: CASE WHEN regexp_matches(m, '{HAN}') AND length(m) > 1 THEN list_transform(range(1, length(m)), lambda k: substr(m, k, 2)) ELSE [m] END)), ' ') AS tokens FROM documents")
+TOKENS_SQL = f"flatten(list_transform(regexp_extract_all(lower(coalesce(text, '')), '{PIECES}'), lambda m: CASE WHEN regexp_matches(m, '{HAN}') AND length(m) > 1 THEN list_transform(range(1, length(m)), lambda k: substr(m, k, 2)) ELSE [m] END))"
+
+
+@query("tokenize", f"SELECT doc_id, array_to_string({TOKENS_SQL}, ' ') AS tokens FROM documents")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d, "documents").select("doc_id", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
 
 
+# Each sector asks, in Han script, how its companies' sales moved.
+_ASKED_HAN = "SELECT DISTINCT sector AS item_id, concat('营收同比', CASE WHEN length(sector) % 2 = 0 THEN '增长' ELSE '下滑' END, ' 行业平均 2021年') AS text FROM companies"
+_HAN_SQL = SEARCH_SQL.replace(WORDS_SQL.format("text"), TOKENS_SQL).replace("FROM documents", "FROM (SELECT report_id AS doc_id, text FROM comments) pages").replace("FROM benchmark", f"FROM ({_ASKED_HAN}) asked")
+
+
+@query("bm25_search_han", _HAN_SQL)
+def bm25_search_han(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over tokens: pairs of neighbouring Han characters meet where whole runs would not."""
+    sales = F.concat(F.lit("营收同比"), F.when(F.length("sector") % 2 == 0, "增长").otherwise("下滑"), F.lit(" 行业平均 2021年"))
+    asked = fixture(spark, d, "companies").select(F.col("sector").alias("item_id"), sales.alias("text")).distinct()
+    return bm25(fixture(spark, d, "comments").select(F.col("report_id").alias("doc_id"), "text"), asked, words=tokens)
+
+
 # Questions name a nation, whose documents weigh more, and years, which count where a file name has one.
 ASKED_SQL = SCORES_SQL.replace("FROM benchmark", "FROM (SELECT qid AS item_id, query AS text FROM questions) asked")
 BOOST_SQL = f"""SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (

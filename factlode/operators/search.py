@@ -6,6 +6,8 @@ as one row, so matching is a row-local filter and the questions are never shuffl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +98,9 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower), F.array().cast("array<string>"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, words: Callable[[Column], Column] = words_of) -> DataFrame:
     """(doc_id, dl, term, tf) over whole texts."""
-    w = docs.select("doc_id", words_of(F.col("text")).alias("w"))
+    w = docs.select("doc_id", words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -107,17 +109,18 @@ def bm25_index(spark: SparkSession, d: str) -> DataFrame:
     return postings(base(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
 
 
-def bm25(docs: DataFrame, asked: DataFrame, top: int | None = TOP) -> DataFrame:
+def bm25(docs: DataFrame, asked: DataFrame, top: int | None = TOP, words: Callable[[Column], Column] = words_of) -> DataFrame:
     """The ``top`` documents of each (item_id, text): item_id, doc_id, rank, score; without ``top``, every score, unranked.
+    ``words`` cuts both texts.
 
     Only postings of asked terms are joined and summed; the two one-row aggregates reach
     every task as scalars."""
-    sizes = docs.select(F.size(words_of(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") * F.lit(1.0) / F.count("*")).alias("avgdl"))
-    index = postings(docs)
+    sizes = docs.select(F.size(words(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") * F.lit(1.0) / F.count("*")).alias("avgdl"))
+    index = postings(docs, words)
     df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes))
     idf = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean"))
-    terms = asked.select("item_id", F.explode(words_of(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
+    terms = asked.select("item_id", F.explode(words(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     known = terms.join(idf, "term").crossJoin(F.broadcast(mean))
     tf, weight = F.col("tf"), F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))
     part = weight * tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))

@@ -15,7 +15,7 @@ TABLES = ("parse_markdown_tables", "table_year", "carry_table_year", "label_metr
 SEARCH = (*SEARCH, "boosts", "rank_results", "topk_per_query", "evaluate_retrieval", "batch_evaluate", "quality_suggestion")
 FILES = ("scan_text_pages", "write_chunks", "clean_json_text", "udtf_chunks", "detect_industry")
 CHECKS = ("number_verification", "number_grounding", "indicator_association", "symbol_resolve", "entity_from_filename", "stream_request_stats", "usage_stream")
-SCORES = ("chart_recommend", "chart_series", "number_accuracy", "anchor_accuracy", "direction_claims", "benchmark_citation", "overall_score", "targets_gap", "regex_extract_metrics")
+SCORES = ("bm25_search_han", "facts_upsert_arrivals", "chart_recommend", "chart_series", "number_accuracy", "anchor_accuracy", "direction_claims", "benchmark_citation", "overall_score", "targets_gap", "regex_extract_metrics")
 FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
 
@@ -86,3 +86,22 @@ def test_upsert_is_idempotent(spark):
     new = spark.createDataFrame([("a", 5, 1)], "k string, v int, seq int")
     once = upsert(old, new, ["k"], "seq")
     assert sorted(map(tuple, upsert(once, new, ["k"], "seq").select("k", "v").collect())) == [("a", 5), ("b", 2)]
+
+
+def test_last_arrival_of_a_batch_wins(spark):
+    from factlode.operators.facts import upsert
+
+    kinds = "k string, v int, seq int, arrival int"
+    old = spark.createDataFrame([("a", 1, 0, 9)], kinds)
+    new = spark.createDataFrame([("a", 5, 1, 1), ("a", 6, 1, 2), ("b", 7, 1, 3)], kinds)
+    assert sorted(map(tuple, upsert(old, new, ["k"], "seq", "arrival").select("k", "v").collect())) == [("a", 6), ("b", 7)]
+
+
+def test_han_words_meet_inside_a_run(spark):
+    from factlode.operators.retrieval import tokens
+    from factlode.operators.search import bm25
+
+    docs = spark.createDataFrame([(1, "公司营业收入增长"), (2, "天气晴朗"), (3, None), (4, "other words")], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "营业收入")], "item_id int, text string")
+    assert bm25(docs, asked).count() == 0
+    assert [r["doc_id"] for r in bm25(docs, asked, words=tokens).collect()] == [1]
