@@ -227,3 +227,51 @@ m AS (SELECT doc_id, year FROM (SELECT doc_id, year, row_number() OVER (PARTITIO
 SELECT r.doc_id, metric, value, concat_ws('_', metric, year) AS key FROM ({_READ_SQL}) r LEFT JOIN m ON m.doc_id = r.doc_id WHERE value IS NOT NULL""")
 def regex_extract_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics_by_pattern(fixture(spark, d, "comments").select(F.col("report_id").alias("doc_id"), "text"))
+
+
+# Other words for a part of a report.
+SYNONYMS = {"杜邦分解": ("杜邦分析", "杜邦"), "对比": ("vs", "VS", "比较", "对比分析"), "打分": ("评分", "评级", "评估")}
+_PARTING = r"[_()（）\s]+"
+
+
+def coverage(reports: DataFrame, dims: DataFrame) -> DataFrame:
+    """report_id, total, found and coverage: of a report's wanted (report_id, dim) parts, how many it speaks of by the whole name, a word
+    of it or another word for it, in any case. A name without words is never found; a report without wanted parts covers all.
+
+    A report's names go to its text, so a text is moved once."""
+    packed = dims.filter("dim IS NOT NULL").groupBy("report_id").agg(F.collect_list("dim").alias("dims"))
+    rows = reports.join(packed, "report_id", "left").select("report_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("dims", F.array().cast("array<string>")).alias("dims"))
+    words = lambda d: F.concat(F.split(d, _PARTING), *(F.when(F.contains(d, F.lit(k)), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in SYNONYMS.items()))
+    met = F.filter("dims", lambda d: F.exists(words(d), lambda w: (w != "") & F.contains(F.col("text"), F.lower(w))))
+    total, found = F.size("dims").cast("long"), F.size(met).cast("long")
+    return rows.select("report_id", total.alias("total"), found.alias("found")).withColumn("coverage", F.when(F.col("total") == 0, 1.0).otherwise(r4(F.col("found") / F.col("total"))))
+
+
+DIMS = ("营收_2021", "杜邦分解", "行业对比", "负债率(年末)", "增长 评级")
+_OTHER_SQL = " OR ".join(f"(contains(dim, '{k}') AND ({' OR '.join(f'''contains(lower(text), lower('{w}'))''' for w in v)}))" for k, v in SYNONYMS.items())
+
+
+@query("structural_coverage", f"""SELECT report_id, COUNT(*) AS total, COUNT(*) FILTER (hit) AS found, floor(COUNT(*) FILTER (hit) * 1e0 / COUNT(*) * 10000 + 0.5) / 10000 AS coverage FROM (
+SELECT report_id, len(list_filter(regexp_split_to_array(dim, '{_PARTING}'), lambda w: w <> '' AND contains(lower(text), lower(w)))) > 0 OR {_OTHER_SQL} AS hit
+FROM (SELECT report_id, text, unnest([{', '.join(f"'{x}'" for x in DIMS)}]) AS dim FROM comments) d) h GROUP BY 1""")
+def structural_coverage(spark: SparkSession, d: str) -> DataFrame:
+    reports = fixture(spark, d, "comments").select("report_id", "text")
+    return coverage(reports, reports.select("report_id", F.explode(F.array(*map(F.lit, DIMS))).alias("dim")))
+
+
+def render_rate(points: DataFrame, reports: DataFrame) -> DataFrame:
+    """report_id, total, valid and rate of (report_id, chart, value) for reports (report_id, expected): a chart is drawn if one of its points has
+    a value. The rate is the drawn charts' share, 1 where none was expected and 0 where one was and none was made."""
+    charts = points.groupBy("report_id", "chart").agg(F.max(F.col("value").isNotNull()).alias("drawn"))
+    counts = charts.groupBy("report_id").agg(F.count("*").alias("total"), F.count_if("drawn").alias("valid"))
+    rows = reports.join(counts, "report_id", "left").na.fill(0, ["total", "valid"])
+    rate = F.when(~F.col("expected"), 1.0).when(F.col("total") == 0, 0.0).otherwise(r4(F.col("valid") / F.col("total")))
+    return rows.select("report_id", "total", "valid", rate.alias("rate"))
+
+
+@query("chart_render_rate", """SELECT c.symbol AS report_id, coalesce(total, 0) AS total, coalesce(valid, 0) AS valid, CASE WHEN CAST(c.symbol AS INT) % 4 = 0 THEN 1e0 WHEN coalesce(total, 0) = 0 THEN 0e0 ELSE floor(valid * 1e0 / total * 10000 + 0.5) / 10000 END AS rate
+FROM companies c LEFT JOIN (SELECT symbol, COUNT(*) AS total, COUNT(*) FILTER (drawn) AS valid FROM (SELECT split_part(chart, '-', 2) AS symbol, chart, bool_or(label IS NOT NULL AND value IS NOT NULL) AS drawn FROM chart_points GROUP BY 1, 2) g GROUP BY 1) n ON n.symbol = c.symbol""")
+def chart_render_rate(spark: SparkSession, d: str) -> DataFrame:
+    points = fixture(spark, d, "chart_points").select(F.split_part(F.col("chart"), F.lit("-"), F.lit(2)).alias("report_id"), "chart", F.when(F.col("label").isNotNull(), F.col("value")).alias("value"))
+    reports = fixture(spark, d, "companies").select(F.col("symbol").alias("report_id"), (F.col("symbol").cast("int") % 4 != 0).alias("expected"))
+    return render_rate(points, reports)

@@ -15,7 +15,7 @@ TABLES = ("parse_markdown_tables", "table_year", "carry_table_year", "label_metr
 SEARCH = (*SEARCH, "boosts", "rank_results", "topk_per_query", "evaluate_retrieval", "batch_evaluate", "quality_suggestion")
 FILES = ("scan_text_pages", "write_chunks", "clean_json_text", "udtf_chunks", "detect_industry")
 CHECKS = ("number_verification", "number_grounding", "indicator_association", "symbol_resolve", "entity_from_filename", "stream_request_stats", "usage_stream")
-SCORES = ("bm25_search_han", "facts_upsert_arrivals", "chart_recommend", "chart_series", "number_accuracy", "anchor_accuracy", "direction_claims", "benchmark_citation", "overall_score", "targets_gap", "regex_extract_metrics")
+SCORES = ("structural_coverage", "chart_render_rate", "bm25_search_han", "facts_upsert_arrivals", "chart_recommend", "chart_series", "number_accuracy", "anchor_accuracy", "direction_claims", "benchmark_citation", "overall_score", "targets_gap", "regex_extract_metrics")
 FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
 

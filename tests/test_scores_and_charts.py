@@ -81,3 +81,19 @@ def test_metrics_in_words_take_the_first_and_the_main_year(spark):
     text = "2020年1家。2021年营业收入约1709.90 亿元，2021年毛利率为 91.5%，营收 3 元。ROE在很久很久以前是 3%"
     got = metrics_by_pattern(spark.createDataFrame([(1, text), (2, None), (3, "总资产 5 万元")], "doc_id int, text string")).collect()
     assert {(r["doc_id"], r["key"], r["value"]) for r in got} == {(1, "营业收入_2021", 1709.9), (1, "毛利率_2021", 91.5), (3, "总资产", 5.0)}
+
+
+def test_parts_are_met_by_words_and_other_words(spark):
+    from factlode.operators.measures import coverage
+
+    reports = spark.createDataFrame([("a", "本文含杜邦分析与roe"), ("b", None), ("c", "x")], "report_id string, text string")
+    dims = spark.createDataFrame([("a", "杜邦分解"), ("a", "ROE_2024"), ("a", "打分"), ("b", "打分"), ("b", "__"), ("b", None)], "report_id string, dim string")
+    assert {tuple(r) for r in coverage(reports, dims).collect()} == {("a", 3, 2, 0.6667), ("b", 2, 0, 0.0), ("c", 0, 0, 1.0)}
+
+
+def test_drawn_charts_count_where_expected(spark):
+    from factlode.operators.measures import render_rate
+
+    points = spark.createDataFrame([("a", "x", 1.0), ("a", "x", None), ("a", "y", None), ("b", "z", None)], "report_id string, chart string, value double")
+    reports = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", False)], "report_id string, expected boolean")
+    assert {tuple(r) for r in render_rate(points, reports).collect()} == {("a", 2, 1, 0.5), ("b", 1, 0, 1.0), ("c", 0, 0, 0.0), ("d", 0, 0, 1.0)}
