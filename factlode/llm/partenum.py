@@ -15,8 +15,11 @@ give each similar pair slack + 1 parts in which they agree; so a set with empty
 
 1. One pass turns each text into its set (64-bit hashes of four lower-cased words) and the set's digest
    of 16 bytes, the node: equal sets are one node.
-2. Signatures shown by two different nodes are kept, told by a grouping with partial minima; a Bloom
-   filter of bounded size and a join leave their rows.
+2. Signatures shown by two different nodes are kept. One row of each node is read for them (a Bloom filter
+   tells which), and a signature moves as five bytes: the partition it is dealt to says the rest, as the
+   number of partitions grows with the shingles. A task holds the different signatures of its partition,
+   however often each comes. Of two in one partition, one in 2^40 pairs is taken for the other, which costs
+   a comparison and never a link. A Bloom filter of bounded size and a join leave their rows.
 3. Nodes of a bucket meet its centres, never all others; each node is paired with the centre that
    shares most of its signatures and verified on the full sets; components are found by alternating
    large-star and small-star. A second round does so with centres of other components.
@@ -38,18 +41,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sieve
 from . import textkit as tk
 from .common import forget, ids_and_text, save, table
-from .neardup import across, brief, components, different_sets, digest, joined, once, prefixes, sets_of, shingle_sets, thinned, unsettled, verified
+from .neardup import across, components, different_sets, digest, joined, once, prefixes, sets_of, shingle_sets, thinned, unsettled, verified
 
 SHINGLE, PERCENT = 4, 85
 U64 = np.uint64
 #: Choices of a bucket's centre in the first round, and centres of other components a node meets in the second.
 PIVOTS, SECOND = 2, 2
+#: Bytes of a signature's name in its partition, and shingles whose signatures one partition takes.
+NAME, SHARE = 5, 1 << 21
 
 
 @lru_cache(maxsize=64)
@@ -143,28 +149,96 @@ def shown(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, rows: i
         yield held()
 
 
-def shared_keys(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The signatures of two or more nodes. Eight bytes of a node tell whether two that share one differ."""
+def coarse(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The partition of each signature, and its name there: 40 bits."""
+    keys = keys.view(U64)
+    return (keys & U64((1 << 24) - 1)) % U64(parts), keys >> U64(24)
+
+
+def named(part: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The key that stands for a partition and a name in it, its bits mixed."""
+    return tk.mix(part << U64(40) | name).view(np.int64)
+
+
+def packed(keys: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Rows (part, names): the names of the signatures of each partition, five bytes each."""
+    part, name = coarse(keys, parts)
+    order = np.argsort(part, kind="stable")
+    part, name = part[order].astype(np.int32), name[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    data = np.ascontiguousarray(name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME])
+    offsets = np.append(starts, len(part)).astype(np.int32) * NAME
+    names = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), names], names=["part", "names"])
+
+
+def unpacked(batch: pa.RecordBatch) -> np.ndarray:
+    """Partition and name of every signature of ``packed`` rows, as one number each."""
+    blobs = batch.column("names").to_pylist()
+    name = np.zeros((sum(map(len, blobs)) // NAME, 8), np.uint8)
+    name[:, :NAME] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, NAME)
+    part = np.repeat(batch.column("part").to_numpy().astype(U64), [len(x) // NAME for x in blobs])
+    return part << U64(40) | name.view("<u8").ravel()
+
+
+def met_twice(batches: Iterator[pa.RecordBatch], fold: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The keys that come twice or more in a partition; what is held grows with its different keys only."""
+    once, twice, held, many = np.zeros(0, U64), np.zeros(0, U64), [], 0
+
+    def folded() -> tuple[np.ndarray, np.ndarray]:
+        new = np.sort(np.concatenate(held))
+        first = np.diff(new, prepend=~new[:1]) != 0
+        again = np.unique(new[~first])
+        new = new[first]
+        return np.union1d(once, new), np.union1d(twice, np.concatenate([again, np.intersect1d(once, new, assume_unique=True)]))
+
+    for batch in batches:
+        held.append(unpacked(batch))
+        many += len(held[-1])
+        if many > max(fold, len(once)):
+            once, twice = folded()
+            held, many = [], 0
+    if many:
+        once, twice = folded()
+    for k in range(0, len(twice), 1 << 16):
+        keys = twice[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(named(keys >> U64(40), keys & U64((1 << 40) - 1)))], names=["key"])
+
+
+def parts_for(spark: SparkSession, shingles: int) -> int:
+    """Partitions for the signatures of so many shingles; a set shows about as many signatures as it has shingles."""
+    return min(1 << 24, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // SHARE + 1))
+
+
+def shared_keys(docs: DataFrame, chosen: Broadcast, parts: int, shingle: int, percent: int) -> DataFrame:
+    """The signatures (key) that two or more of the ``chosen`` rows show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, _, many in shown(batches, shingle, percent):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([brief(x) for x in nodes], np.int64), many))], names=["key", "node"])
+        for keys, *_ in shown(those(batches, chosen), shingle, percent):
+            if len(keys):
+                yield packed(keys, parts)
+
+    return docs.select("at", "text").mapInArrow(run, "part int, names binary").repartitionById(parts, "part").mapInArrow(met_twice, "key long")
 
-    met = docs.select("text").mapInArrow(run, "key long, node long").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    return met.filter("lo <> hi").select("key")
+
+def those(batches: Iterator[pa.RecordBatch], chosen: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The rows whose ``at`` the filter passes."""
+    for batch in batches:
+        yield batch.filter(pa.array(sieve.holds(chosen.value, batch.column("at").to_numpy())))
 
 
-def bucket_members(docs: DataFrame, shared: DataFrame, shingle: int, percent: int) -> DataFrame:
+def bucket_members(docs: DataFrame, chosen: Broadcast, shared: DataFrame, parts: int, shingle: int, percent: int) -> DataFrame:
     """(key, node, n): the nodes of each shared signature, with their sizes."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve.build(shared, "key", sieve.sized(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, sizes, many in shown(batches, shingle, percent):
+        for keys, nodes, sizes, many in shown(those(batches, chosen), shingle, percent):
+            keys = named(*coarse(keys, parts))
             keep = np.flatnonzero(sieve.holds(sent.value, keys))
             of = np.repeat(np.arange(len(nodes)), many)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes, pa.binary()).take(pa.array(of)), pa.array(sizes[of])], names=["key", "node", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
+    return docs.select("at", "text").mapInArrow(run, "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
 
 
 def likeliest(met: DataFrame, percent: int) -> DataFrame:
@@ -178,13 +252,18 @@ def likeliest(met: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another one. ``marked`` is the sketch of ``docs``."""
-    shared = save(shared_keys(docs, shingle, percent), "shared")
-    members = save(bucket_members(docs, shared, shingle, percent), "members")
+    spark = docs.sparkSession
+    one_each = save(marked.groupBy("node").agg(F.min("at").alias("at"), F.min("n_shingles").alias("n")), "one_each")
+    total, many = one_each.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    chosen_rows = spark.sparkContext.broadcast(sieve.build(one_each, "at", sieve.sized(many)))
+    parts_of_keys = parts_for(spark, total)
+    shared = save(shared_keys(docs, chosen_rows, parts_of_keys, shingle, percent), "shared")
+    members = save(bucket_members(docs, chosen_rows, shared, parts_of_keys, shingle, percent), "members")
     turn = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))
     centre = members.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m")), turn).alias("c")).select("key", "c.*")
     pairs = save(likeliest(members.join(centre, "key"), percent), "pairs")
     nodes = members.select("node").distinct()
-    rows_of = save(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("at").alias("at")), "rows_of")
+    rows_of = save(one_each.join(nodes, "node", "left_semi").select("node", "at"), "rows_of")
     sets = once(save(sets_of(docs, rows_of, shingle), "sets"), rows_of.count())
     first = components(verified(pairs, sets, percent))
     apart = unsettled(members.select("key", "node"), first)
@@ -202,7 +281,7 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     more, placed = across(prefix, parts, percent)
     third = save(more.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
     out = joined(parts, verified(third, sets, percent))
-    forget(shared, members, pairs, rows_of, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
+    forget(one_each, shared, members, pairs, rows_of, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
     return out
 
 

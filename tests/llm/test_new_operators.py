@@ -284,3 +284,20 @@ def test_stage_keeps_columns_named_like_its_own(spark):
     rows = [(1, "a b c d e f g", 7, "x", 3), (2, "a b c d e f g", 8, "y", 4), (3, "h i j k l m n", 9, "z", 5), (3, "h i j k l m n", 9, "z", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, nth int, at string, ID int")
     assert sorted(map(tuple, neardup.stage(spark, docs, "").collect())) == [rows[0], rows[2]]
+
+
+def test_signatures_met_twice_survive_packing():
+    import numpy as np
+
+    from factlode.llm import partenum as pe
+
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    shown = [np.concatenate([keys[:3000], np.repeat(keys[:1], 700)]), keys[2500:]]
+    for parts in (1, 7, 4096):
+        batches = [pe.packed(k, parts) for k in shown]
+        assert sum(len(pe.unpacked(b)) for b in batches) == sum(map(len, shown))
+        found = np.concatenate([b.column("key").to_numpy() for b in pe.met_twice(iter(batches), fold=1000)])
+        expected = pe.named(*pe.coarse(np.concatenate([keys[:1], keys[2500:3000]]), parts))
+        assert sorted(found.tolist()) == sorted(expected.tolist())
+    assert not list(pe.met_twice(iter([])))
