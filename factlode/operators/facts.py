@@ -198,7 +198,7 @@ def copied(facts: DataFrame, source: str, target: str) -> DataFrame:
     return rows.select("symbol", "year", "quarter", F.lit(target).alias("metric_key"), "metric_value", F.concat("source", F.lit(":backfill")).alias("source"))
 
 
-EQUITY_SQL = "SELECT a.symbol, a.year, a.quarter, 'total_equity' AS metric_key, a.metric_value - l.metric_value AS metric_value, 'computed:backfill' AS source FROM facts a JOIN facts l ON a.symbol = l.symbol AND a.year = l.year AND a.quarter = l.quarter AND a.metric_key = 'total_assets' AND l.metric_key = 'total_liabilities' WHERE a.symbol NOT IN (SELECT symbol FROM facts WHERE metric_key IN ('total_equity', 'equity_attr_parent'))"
+EQUITY_SQL = "SELECT symbol, year, quarter, 'total_equity' AS metric_key, total_assets - total_liabilities AS metric_value, 'computed:backfill' AS source FROM facts_wide WHERE total_assets IS NOT NULL AND total_liabilities IS NOT NULL AND symbol NOT IN (SELECT symbol FROM facts_wide WHERE total_equity IS NOT NULL OR equity_attr_parent IS NOT NULL)"
 
 
 def computed_equity(facts: DataFrame) -> DataFrame:

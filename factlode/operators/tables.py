@@ -146,3 +146,28 @@ def label_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("extract_table_facts", f"SELECT doc_id, year, 'Q4' AS quarter, metric_key, metric_value, label AS row_label FROM (SELECT f.*, c.year, row_number() OVER (PARTITION BY f.doc_id, c.year, metric_key ORDER BY f.table_no, row_no) AS rn FROM ({FACTS_SQL}) f JOIN ({CARRIED_SQL}) c ON f.doc_id = c.doc_id AND f.table_no = c.table_no WHERE c.year IS NOT NULL) q WHERE rn = 1")
 def extract_table_facts(spark: SparkSession, d: str) -> DataFrame:
     return table_facts(pages(spark, d))
+
+
+#: A table of so many rows (the rule under the header is none), columns and characters is a chunk of its own.
+ROWS, COLUMNS, CHARACTERS = 4, 3, 50
+RULE = r"^\|[ \t:|-]*-[ \t:|-]*$"
+
+
+def big_tables(docs: DataFrame) -> DataFrame:
+    """doc_id, table_no (as in ``read_tables``), rows, cols and content of the tables that are chunks of their own.
+
+    The text's first line that is not blank stands in front, unless the table itself begins there. A null text has none."""
+    found = docs.select("doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), r"^\s*([^\n]*)", 1).alias("head"), F.posexplode(tables_in(F.col("text"))).alias("at", "table"))
+    lines = lines_of(F.col("table"))
+    body = F.array_join(lines, "\n")
+    read = found.select("doc_id", (F.col("at") + 1).alias("table_no"), F.size(F.filter(lines, lambda x: ~x.rlike(RULE))).alias("rows"), F.size(cells_of(lines[0])).alias("cols"), F.rtrim("head").alias("head"), body.alias("body"))
+    fit = (F.col("rows") >= ROWS) & (F.col("cols") >= COLUMNS) & (F.length("body") >= CHARACTERS)
+    return read.filter(fit).select("doc_id", "table_no", "rows", "cols", F.when((F.col("head") == "") | F.startswith("head", F.lit("|")), F.col("body")).otherwise(F.concat("head", F.lit("\n\n"), "body")).alias("content"))
+
+
+_BIG = f"SELECT t.doc_id, table_no, COUNT(*) FILTER (WHERE NOT regexp_matches(line, '^[|][ :|-]*-[ :|-]*$')) AS rows, MAX(CASE WHEN row_no = 0 THEN len(string_split(line, '|')) - 2 END) AS cols, string_agg(line, chr(10) ORDER BY row_no) AS body FROM ({TABLE_SQL}) t GROUP BY ALL"
+
+
+@query("table_chunks", f"SELECT b.doc_id, b.table_no, b.rows, b.cols, concat(string_split(p.text, chr(10))[1], chr(10), chr(10), body) AS content FROM ({_BIG}) b JOIN statement_pages p ON b.doc_id = p.doc_id WHERE b.rows >= 4 AND b.cols >= 3 AND length(body) >= 50")
+def table_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return big_tables(pages(spark, d))

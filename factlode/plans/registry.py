@@ -13,7 +13,7 @@ from factlode.sources.fixtures import with_fixtures
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("facts", "formulas", "market", "ops", "corpus", "search", "language", "fusion", "retrieval", "reports", "tables", "grounding", "semantic", "names", "files", "charts", "measures")
+MODULES = ("facts", "formulas", "market", "ops", "corpus", "search", "language", "fusion", "retrieval", "reports", "tables", "grounding", "semantic", "names", "files", "charts", "measures", "assessments")
 
 
 def register(name: str, query: Callable, sql: str | None = None) -> None:

@@ -152,6 +152,25 @@ SELECT a.symbol AS report_id, c.sector,
               CASE WHEN CAST(a.symbol AS INT) % 6 = 0 THEN '高于行业平均水平。' ELSE concat('参考值', substr(CAST(CAST(floor(a.revenue) AS BIGINT) AS STRING), 1, 3)) END, '经营活动产生的现金流净额', {_INT.format("abs(operating_cf)")}, '元') AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS last FROM annual) a JOIN companies c ON a.symbol = c.symbol WHERE a.last = 1 AND a.revenue IS NOT NULL AND a.net_profit IS NOT NULL AND a.operating_cf IS NOT NULL"""
 
+#: What the caller of a formula gives: most names with a year, some without, some not at all.
+FIXTURES["given_params"] = "SELECT case_id, name, value FROM (\n" + "\nUNION ALL ".join(
+    f"SELECT symbol AS case_id, concat('{m}_', CAST(year AS STRING)) AS name, {c} AS value FROM annual WHERE CAST(symbol AS INT) % {k} <> 0"
+    for m, c, k in (("revenue", "revenue", 17), ("cost_of_revenue", "cost_of_revenue", 13), ("net_profit", "net_profit", 11), ("total_assets", "total_assets", 19), ("equity", "total_equity", 6), ("equity_attr_parent", "equity_attr_parent", 5),
+                    ("inventory", "inventory", 7), ("receivables", "receivables", 9), ("operating_profit", "operating_profit", 8), ("operating_cf", "operating_cf", 10), ("investing_cf_out", "investing_cf_out", 4), ("eps", "eps", 12), ("current_assets", "current_assets", 3))
+) + """
+UNION ALL SELECT symbol, 'avg_equity', total_assets FROM annual WHERE CAST(symbol AS INT) % 3 = 0 AND year % 2 = 0
+UNION ALL SELECT symbol, 'total_liabilities', total_liabilities FROM annual WHERE CAST(symbol AS INT) % 2 = 0
+UNION ALL SELECT symbol, 'total_shares', CAST(0 AS DOUBLE) FROM companies
+UNION ALL SELECT symbol, 'price', CAST(12 AS DOUBLE) FROM companies) g"""
+#: What is said of a company, with words of an industry or none.
+FIXTURES["company_profiles"] = """
+SELECT symbol, concat(name, CASE CAST(symbol AS INT) % 12 WHEN 0 THEN '银行' WHEN 1 THEN '从事保险' WHEN 2 THEN '证券公司' WHEN 3 THEN '白酒' WHEN 4 THEN '新能源电池'
+       WHEN 5 THEN '家电' WHEN 6 THEN '医药' WHEN 7 THEN '电力' WHEN 8 THEN '芯片' WHEN 9 THEN '食品' WHEN 10 THEN '保险与银行' ELSE '' END) AS about FROM companies"""
+#: Points of charts whose names are those of metrics, parts of them, longer ones, or others.
+FIXTURES["metric_points"] = """
+SELECT symbol AS chart, year AS pos, CASE year % 5 WHEN 0 THEN '毛利率' WHEN 1 THEN concat('净资产收益率_', CAST(year AS STRING)) WHEN 2 THEN '周转率' WHEN 3 THEN '营业外支出' ELSE '净利润增长率' END AS name,
+       CASE WHEN revenue <> 0 THEN floor(net_profit / revenue * 10000) / 100 END AS value FROM annual"""
+
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
