@@ -275,3 +275,74 @@ def chart_render_rate(spark: SparkSession, d: str) -> DataFrame:
     points = fixture(spark, d, "chart_points").select(F.split_part(F.col("chart"), F.lit("-"), F.lit(2)).alias("report_id"), "chart", F.when(F.col("label").isNotNull(), F.col("value")).alias("value"))
     reports = fixture(spark, d, "companies").select(F.col("symbol").alias("report_id"), (F.col("symbol").cast("int") % 4 != 0).alias("expected"))
     return render_rate(points, reports)
+
+
+#: How far a number of a report may be from an expected one; names of cash flows, which are also written with other roundings; what is too small for an amount.
+NEAR, CASH, AMOUNT = 0.02, ("operating_cf", "investing_cf", "financing_cf", "free_cash", "经营现金流", "投资现金流", "筹资现金流", "自由现金流", "capex"), 10
+#: Buckets of the logarithm are wider than ``NEAR``, so that a match lies in the same one or in one beside it.
+_STEP = 0.03
+
+
+def _rounded(x: Column, places: int) -> Column:
+    return F.signum(x) * F.floor(F.abs(x) * 10**places + 0.5) / 10**places
+
+
+def _bucket(x: Column) -> Column:
+    """Sign and logarithm of a number other than 0, in steps; 0 has a bucket of its own."""
+    log = F.floor(F.log(F.abs(x)) / _STEP).cast("long")
+    return F.when(F.abs(x) < 1e-6, F.lit(0).cast("long")).otherwise((log + 100_000) * F.signum(x).cast("long"))
+
+
+def amounts(values: DataFrame) -> DataFrame:
+    """(report_id, name, c): what a report may write for each of ``values`` (report_id, name, value).
+
+    As it is, in 万 and in 亿 with two places; cash flows also in 亿 with none, one and four; negative ones also without the sign."""
+    v = F.col("value")
+    cash = F.lower("name").rlike("|".join(CASH))
+    forms = F.array(v, _rounded(v / 1e4, 2), _rounded(v / 1e8, 2))
+    forms = F.when(cash, F.concat(forms, F.array(_rounded(_rounded(v / 1e8, 2), 0), _rounded(v / 1e8, 1), _rounded(v / 1e8, 4)))).otherwise(forms)
+    forms = F.when(v < 0, F.concat(forms, F.transform(forms, F.abs))).otherwise(forms)
+    return values.filter(F.abs(v) >= AMOUNT).select("report_id", "name", F.explode(F.array_distinct(forms)).alias("c"))
+
+
+def accuracy_in_units(reports: DataFrame, values: DataFrame) -> DataFrame:
+    """report_id, total, matched and accuracy: how many of a report's ``values`` stand in its text in some unit.
+
+    Numbers meet amounts in buckets of the logarithm. Nothing to find is an accuracy of 1; a null text has no numbers."""
+    numbers = reports.select("report_id", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(-?[0-9]+\.?[0-9]*)"), 1)).alias("x")).select("report_id", F.col("x").cast("double").alias("x")).distinct()
+    ours, c = numbers.withColumn("bucket", _bucket(F.col("x"))), F.col("c")
+    theirs = amounts(values).withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(c) + k)))
+    near = F.when(F.abs(c) < 1e-6, F.abs(F.col("x")) < 1e-6).otherwise(F.abs(F.col("x") - c) / F.abs(c) < NEAR)
+    hits = theirs.join(ours, ["report_id", "bucket"]).filter(near).select("report_id", "name").distinct().withColumn("hit", F.lit(1))
+    names = values.filter(F.abs("value") >= AMOUNT).select("report_id", "name").distinct().join(hits, ["report_id", "name"], "left")
+    met = names.groupBy("report_id").agg(F.count("*").alias("total"), F.count("hit").alias("matched"))
+    out = reports.select("report_id").join(met, "report_id", "left").fillna(0, ["total", "matched"])
+    return out.withColumn("accuracy", F.when(F.col("total") == 0, 1.0).otherwise(r4(F.col("matched") / F.col("total"))))
+
+
+_R = lambda x, k: f"(sign({x}) * floor(abs({x}) * {10**k} + 0.5) / {10**k})"
+_AMOUNTS = f"list_concat([value, {_R('(value / 1e4)', 2)}, {_R('(value / 1e8)', 2)}], CASE WHEN regexp_matches(lower(name), '{'|'.join(CASH)}') THEN [{_R(_R('(value / 1e8)', 2), 0)}, {_R('(value / 1e8)', 1)}, {_R('(value / 1e8)', 4)}] ELSE [] END)"
+
+
+@query("number_accuracy_units", f"""WITH num AS (SELECT report_id, list_transform(regexp_extract_all(text, '-?[0-9]+[.]?[0-9]*'), lambda t: CAST(t AS DOUBLE)) AS xs FROM reports),
+form AS (SELECT report_id, name, unnest(list_distinct(CASE WHEN value < 0 THEN list_concat({_AMOUNTS}, list_transform({_AMOUNTS}, lambda a: abs(a))) ELSE {_AMOUNTS} END)) AS c FROM data_values WHERE abs(value) >= 10),
+hit AS (SELECT report_id, name, bool_or(len(list_filter(xs, lambda x: CASE WHEN abs(c) < 1e-6 THEN abs(x) < 1e-6 ELSE abs(x - c) / abs(c) < 0.02e0 END)) > 0) AS ok FROM form JOIN num USING (report_id) GROUP BY 1, 2)
+SELECT r.report_id, COUNT(ok) AS total, COUNT(*) FILTER (ok) AS matched, CASE WHEN COUNT(ok) = 0 THEN 1e0 ELSE floor(COUNT(*) FILTER (ok) * 1e0 / COUNT(ok) * 10000 + 0.5) / 10000 END AS accuracy FROM reports r LEFT JOIN hit ON r.report_id = hit.report_id GROUP BY r.report_id""")
+def number_accuracy_units(spark: SparkSession, d: str) -> DataFrame:
+    return accuracy_in_units(fixture(spark, d, "reports"), fixture(spark, d, "data_values"))
+
+
+def indicators_named(reports: DataFrame, expected: DataFrame) -> DataFrame:
+    """report_id, total, found and coverage: how many of the ``expected`` names (report_id, name) a report has, in either case.
+
+    A report of which nothing is expected is covered whole; a null text names nothing."""
+    wanted = expected.select("report_id", "name").distinct()
+    met = reports.join(wanted, "report_id", "left").withColumn("hit", F.coalesce(F.contains(F.lower("text"), F.lower("name")), F.lit(False)))
+    out = met.groupBy("report_id").agg(F.count("name").alias("total"), F.count_if("hit").alias("found"))
+    return out.withColumn("coverage", F.when(F.col("total") == 0, 1.0).otherwise(r4(F.col("found") / F.col("total"))))
+
+
+@query("indicator_coverage", """SELECT r.report_id, COUNT(name) AS total, COUNT(*) FILTER (contains(lower(text), lower(name))) AS found, CASE WHEN COUNT(name) = 0 THEN 1e0 ELSE floor(COUNT(*) FILTER (contains(lower(text), lower(name))) * 1e0 / COUNT(name) * 10000 + 0.5) / 10000 END AS coverage
+FROM reports r LEFT JOIN (SELECT DISTINCT report_id, name FROM data_values) v ON r.report_id = v.report_id GROUP BY r.report_id""")
+def indicator_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return indicators_named(fixture(spark, d, "reports"), fixture(spark, d, "data_values"))

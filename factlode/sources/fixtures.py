@@ -171,6 +171,12 @@ FIXTURES["metric_points"] = """
 SELECT symbol AS chart, year AS pos, CASE year % 5 WHEN 0 THEN '毛利率' WHEN 1 THEN concat('净资产收益率_', CAST(year AS STRING)) WHEN 2 THEN '周转率' WHEN 3 THEN '营业外支出' ELSE '净利润增长率' END AS name,
        CASE WHEN revenue <> 0 THEN floor(net_profit / revenue * 10000) / 100 END AS value FROM annual"""
 
+#: What a report was given to write about, cash flows of both signs among it.
+FIXTURES["data_values"] = """
+SELECT report_id, name, value FROM report_values
+UNION ALL SELECT concat(symbol, '-', CAST(year AS STRING)) AS report_id, 'Operating_CF' AS name, operating_cf AS value FROM annual
+UNION ALL SELECT concat(symbol, '-', CAST(year AS STRING)) AS report_id, '亏损' AS name, 0 - net_profit AS value FROM annual"""
+
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

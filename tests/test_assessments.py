@@ -95,3 +95,18 @@ def test_table_chunks(spark):
     ]
     got = {r.doc_id: (r.table_no, r.rows, r.cols, r.content) for r in big_tables(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
     assert got == {"a": (1, 4, 3, f"合并利润表\n\n{wide}"), "b": (1, 4, 3, wide)}
+
+
+def test_numbers_in_units(spark):
+    from factlode.operators.measures import accuracy_in_units, indicators_named
+
+    reports = [("a", "收入12.35亿元，流出710.7亿，共615亿，0"), ("b", "亏损-50 元，2%"), ("c", None), ("d", "")]
+    values = [("a", "收入", 1.2345e9), ("a", "投资现金流", -7.1068e10), ("a", "ROE", 9.0), ("a", "Free_Cash_flow", 6.1549e10), ("a", "小额", 10.0), ("a", "负债", 8e9), ("b", "利润", -51.1), ("b", "亏损", -50.9), ("c", "收入", 20.0), ("d", "率", None)]
+    reports = spark.createDataFrame(reports, "report_id string, text string")
+    values = spark.createDataFrame(values, "report_id string, name string, value double")
+    got = {r.report_id: (r.total, r.matched, r.accuracy) for r in accuracy_in_units(reports, values).collect()}
+    # 10 in 万 and 亿 is 0, which stands in the text; -51.1 is over 2 % from -50.
+    assert got == {"a": (5, 4, 0.8), "b": (2, 1, 0.5), "c": (1, 0, 0.0), "d": (0, 0, 1.0)}
+    got = {r.report_id: (r.total, r.found, r.coverage) for r in indicators_named(reports, values).collect()}
+    assert got == {"a": (6, 1, 0.1667), "b": (2, 1, 0.5), "c": (1, 0, 0.0), "d": (1, 0, 0.0)}
+    assert accuracy_in_units(reports.limit(0), values).count() == 0

@@ -16,7 +16,7 @@ SEARCH = (*SEARCH, "boosts", "rank_results", "topk_per_query", "evaluate_retriev
 FILES = ("scan_text_pages", "write_chunks", "clean_json_text", "udtf_chunks", "detect_industry")
 CHECKS = ("number_verification", "number_grounding", "indicator_association", "symbol_resolve", "entity_from_filename", "stream_request_stats", "usage_stream")
 SCORES = ("structural_coverage", "chart_render_rate", "bm25_search_han", "facts_upsert_arrivals", "chart_recommend", "chart_series", "number_accuracy", "anchor_accuracy", "direction_claims", "benchmark_citation", "overall_score", "targets_gap", "regex_extract_metrics")
-ASSESSED = ("auto_fill_all", "calc_confidence_all", "sanity_check_all", "risk_flags_by_industry", "risk_level_by_industry", "benchmark_gap_all", "table_chunks", "backfill_equity")
+ASSESSED = ("auto_fill_all", "calc_confidence_all", "sanity_check_all", "risk_flags_by_industry", "risk_level_by_industry", "benchmark_gap_all", "table_chunks", "backfill_equity", "number_accuracy_units", "indicator_coverage")
 FUSION = ("semantic_search", "overlap_search", "rrf_fuse", "precision_at_k")
 
 
