@@ -368,3 +368,11 @@ def test_components_of_paths_and_stars(spark):
     more = neardup.joined(parts, frame([(129, 33), (200, 201)]))
     assert {(r.node, r.component) for r in more.collect()} == {(k, 0) for k in [*range(41), *range(100, 130)]} | {(200, 200), (201, 200)}
     assert neardup.components(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_token_store", "op7_bpe", "op9_pii"])
+def test_queries_of_empty_tables(spark, docs, tmp_path, name):
+    from factlode.llm import registry
+
+    empty(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.queries()[name](spark, str(tmp_path)).collect() == []
