@@ -1,4 +1,4 @@
-"""Names found in other names, both ways, by their rarest pieces."""
+"""Names found in other names, both ways, by pieces of the lengths that are asked for."""
 
 from __future__ import annotations
 
@@ -8,38 +8,48 @@ from pyspark.sql import functions as F
 from factlode.plans.registry import query
 from factlode.sources.fixtures import fixture
 
-GRAM = 3
 
+def pieces(text: Column, sizes: Column) -> Column:
+    """The different pieces of a text that have one of these lengths."""
+    fit = F.filter(sizes, lambda n: n <= F.length(text))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substr(text, k, n))
+    return F.array_distinct(F.flatten(F.transform(fit, cut)))
 
-def grams(text: Column, size: Column) -> Column:
-    """The different pieces of ``size`` characters of a text; none of a shorter one."""
-    n = F.length(text) - size + 1
-    return F.when((n > 0) & (size > 0), F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr(text, k, size)))).otherwise(F.array().cast("array<string>"))
+
+def held(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(long_id, piece): what of ``long`` (id, text) can be a text of ``short``: its pieces of their lengths.
+
+    A piece is met by equality, so no pair is made only to be refused. Empty and null texts are nowhere."""
+    sizes = short.filter(F.length("text") > 0).agg(F.collect_set(F.length("text")).alias("sizes"))
+    return long.filter(F.length("text") > 0).crossJoin(F.broadcast(sizes)).select(F.col("id").alias("long_id"), F.explode(pieces(F.col("text"), F.col("sizes"))).alias("piece"))
 
 
 def inside(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(short_id, long_id) of the texts of ``short`` (id, text) that stand in texts of ``long`` (id, text).
+    """(short_id, long_id) of the texts of ``short`` (id, text) that stand in texts of ``long`` (id, text)."""
+    return short.select(F.col("id").alias("short_id"), F.col("text").alias("piece")).join(held(short, long), "piece").select("short_id", "long_id").distinct()
+
+
+def least_holder(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(id, found): of every text of ``short`` that stands in texts of ``long`` the least id of those; no pairs are made."""
+    first = held(short, long).groupBy("piece").agg(F.min("long_id").alias("found"))
+    return short.select("id", F.col("text").alias("piece")).join(first, "piece").select("id", "found")
+
 
-    A short text asks with its piece that fewest long texts hold; nothing meets everything. Texts under
-    ``GRAM`` characters are their own piece, and empty and null ones are nowhere."""
-    sizes = F.explode(F.array(*map(F.lit, range(1, GRAM + 1))))
-    held = long.select(F.col("id").alias("long_id"), F.col("text").alias("long_text"), sizes.alias("size"))
-    held = held.select("long_id", "long_text", F.explode(grams(F.col("long_text"), F.col("size"))).alias("gram"))
-    many = held.groupBy("gram").agg(F.count("*").alias("many"))
-    asked = short.select(F.col("id").alias("short_id"), F.col("text").alias("short_text"), F.explode(grams(F.col("text"), F.least(F.lit(GRAM), F.length("text")))).alias("gram"))
-    rarest = asked.join(many, "gram", "left").groupBy("short_id", "short_text").agg(F.min_by(F.struct("gram", "many"), F.coalesce("many", F.lit(0))).alias("g"))
-    return rarest.filter("g.many IS NOT NULL").select("short_id", "short_text", "g.gram").join(held, "gram").filter(F.contains("long_text", F.col("short_text"))).select("short_id", "long_id").distinct()
+def least_held(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(id, found): of every text of ``long`` in which texts of ``short`` stand the least id of those; one row a different text is joined."""
+    first = short.filter(F.length("text") > 0).groupBy(F.col("text").alias("piece")).agg(F.min("id").alias("found"))
+    return held(short, long).join(first, "piece").groupBy(F.col("long_id").alias("id")).agg(F.min("found").alias("found"))
 
 
 def resolve(mentions: DataFrame, companies: DataFrame) -> DataFrame:
     """mention_id, symbol and how of every mention: by code ('1'), whole name ('2') or a part of one in the other ('3'), the
     least symbol of each way; null where none is found. ``mentions``: mention_id, mention; ``companies``: symbol, name."""
     code = F.regexp_replace("mention", r"[.](SH|SZ|HK)", "")
-    by_code = mentions.select("mention_id", code.alias("symbol")).join(companies.select("symbol"), "symbol").select("mention_id", "symbol", F.lit(1).alias("how"))
-    by_name = mentions.join(companies, F.col("mention") == F.col("name")).select("mention_id", "symbol", F.lit(2).alias("how"))
+    by_code = mentions.select("mention_id", code.alias("symbol")).join(companies.select("symbol").distinct(), "symbol").select("mention_id", "symbol", F.lit(1).alias("how"))
+    first = companies.groupBy(F.col("name").alias("mention")).agg(F.min("symbol").alias("symbol"))
+    by_name = mentions.join(first, "mention").select("mention_id", "symbol", F.lit(2).alias("how"))
     said, known = mentions.select(F.col("mention_id").alias("id"), F.col("mention").alias("text")), companies.select(F.col("symbol").alias("id"), F.col("name").alias("text"))
-    parts = inside(said, known).select(F.col("short_id").alias("mention_id"), F.col("long_id").alias("symbol"))
-    parts = parts.unionByName(inside(known, said).select(F.col("long_id").alias("mention_id"), F.col("short_id").alias("symbol")))
+    parts = least_holder(said, known).unionByName(least_held(known, said)).select(F.col("id").alias("mention_id"), F.col("found").alias("symbol"))
     found = by_code.unionByName(by_name).unionByName(parts.withColumn("how", F.lit(3)))
     best = found.groupBy("mention_id").agg(F.min(F.struct("how", "symbol")).alias("b"))
     return mentions.join(best, "mention_id", "left").select("mention_id", "b.symbol", "b.how")
@@ -63,5 +73,5 @@ def entity_from_filename(spark: SparkSession, d: str) -> DataFrame:
     """The least company name that stands in a file's name, or in which it stands."""
     files = spark.sql(FILES_SQL.format("{documents}"), documents=spark.read.parquet(f"{d}/documents.parquet"))
     named, known = files.select(F.col("file").alias("id"), F.col("filename").alias("text")), fixture(spark, d, "companies").select(F.col("name").alias("id"), F.col("name").alias("text"))
-    both = inside(known, named).select(F.col("long_id").alias("file"), F.col("short_id").alias("name")).unionByName(inside(named, known).select(F.col("short_id").alias("file"), F.col("long_id").alias("name")))
-    return files.select("file").join(both.groupBy("file").agg(F.min("name").alias("entity")), "file", "left")
+    both = least_held(known, named).unionByName(least_holder(named, known)).select(F.col("id").alias("file"), "found")
+    return files.select("file").join(both.groupBy("file").agg(F.min("found").alias("entity")), "file", "left")

@@ -158,3 +158,14 @@ def test_semantic_chunks_cover_every_page(spark, sf):
     assert {(r.doc_id, r.page) for r in semantic.semantic(pages).collect()} == keys
     null = spark.createDataFrame([(1, None), (2, " \n ")], "doc_id long, text string")
     assert semantic.page_texts(null).count() == 0
+
+
+def test_least_names_without_pairs(spark):
+    r = random.Random(3)
+    texts = lambda n: [(f"{n}{k:03}", "".join(r.choices("ab中", k=r.randrange(0, 7)))) for k in range(120)] + [(f"{n}null", None)]
+    short, long = texts("s"), texts("l")
+    frame = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    met = [(i, j) for i, a in short for j, b in long if a and b and a in b]
+    assert {tuple(x) for x in names.least_holder(frame(short), frame(long)).collect()} == {(i, min(j for k, j in met if k == i)) for i, _ in met}
+    assert {tuple(x) for x in names.least_held(frame(short), frame(long)).collect()} == {(j, min(i for i, k in met if k == j)) for _, j in met}
+    assert names.least_held(frame([]), frame(long)).count() == names.least_holder(frame(short), frame([])).count() == 0
