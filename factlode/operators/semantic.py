@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlode.operators.corpus import SENTENCE, SHORT
+from factlode.llm.common import bound_batches
 from factlode.plans.registry import query
 from factlode.sources.fixtures import fixture
 
@@ -80,11 +81,16 @@ def chunks(text: str, least: int = LEAST, most: int = MOST, overlap: float = OVE
     return [c for c in out if c]
 
 
+PAGES = 64
+
+
 def _each_page(pages: DataFrame, read, schema: str, kinds: list) -> DataFrame:
+    """Rows of ``read`` of every page; a task holds what ``PAGES`` pages give, and gets a few MB of texts at a time."""
     names = [c.split()[0] for c in schema.split(", ")]
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PAGES) for b in batches for at in range(0, b.num_rows, PAGES)):
             rows = [(i, p, *row) for i, p, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "text")), strict=True) for row in read(t)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
