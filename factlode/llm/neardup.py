@@ -303,7 +303,7 @@ def rarest(items: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
 
 
 def prefixes(source: DataFrame, read: Reader, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(item, node, n, at, short): the rarest shingles of each set, with rank, that two nodes show; and the shown items, saved.
+    """(node, n, short, items, at): one row for each node, with those of its rarest shingles that two nodes may show, and their ranks; and (item), what two nodes show, saved.
 
     The larger set of a pair shows one of its n - ceil(p n) + 1 rarest shingles; the smaller one need
     only show its n - ceil(2 p n / (1 + p)) + 1 rarest (``short``), since the overlap is at least that of it."""
@@ -328,16 +328,17 @@ def prefixes(source: DataFrame, read: Reader, total: int, percent: int) -> tuple
                 at = np.flatnonzero(sieve.holds(sent.value, rare))
                 if len(at):
                     short = n - -(-n * 2 * percent // (100 + percent)) + 1
-                    yield pa.RecordBatch.from_arrays([pa.array(rare[at]), pa.array([node] * len(at), pa.binary()), pa.array(np.full(len(at), n)), pa.array(at + 1), pa.array(at < short)], names=["item", "node", "n", "at", "short"])
+                    yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([n]), pa.array([short]), pa.array([rare[at]], pa.list_(pa.int64())), pa.array([at + 1], pa.list_(pa.int64()))], names=["node", "n", "short", "items", "at"])
 
-    rows = source.mapInArrow(gathered(rows_of), "item long, node binary, n long, at long, short boolean")
-    return rows.join(spread, "item", "left_semi").distinct(), spread
+    rows = source.mapInArrow(gathered(rows_of, 1 << 10), "node binary, n long, short long, items array<long>, at array<long>")
+    return rows.dropDuplicates(["node"]), spread
 
 
-def across(prefix: DataFrame, parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def across(prefix: DataFrame, parts: DataFrame, percent: int, spread: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes of different components that share a rare shingle and may be similar enough; and the rows they come from, saved."""
-    placed = prefix.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = save(placed, "prefix")
+    # A node learns its component while it is one row, not once for each of its shingles.
+    each = prefix.join(parts, "node", "left").select("node", "n", "short", F.coalesce("component", "node").alias("component"), F.inline(F.arrays_zip("items", "at")).alias("item", "at"))
+    placed = save((each if spread is None else each.join(spread, "item", "left_semi")).select("item", "node", "n", "at", (F.col("at") <= F.col("short")).alias("short"), "component"), "prefix")
     spread = placed.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("item")
     rows = placed.join(spread, "item", "left_semi")
     n = F.col("n")
@@ -389,7 +390,7 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     read = lambda batch: different_sets(batch.column("text"), SHINGLE)
     total = sketch.agg(F.sum("n_shingles")).first()[0] or 0
     prefix, spread = prefixes(docs.select("text"), read, total, PERCENT)
-    more, placed = across(prefix, parts, PERCENT)
+    more, placed = across(prefix, parts, PERCENT, spread)
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "more")
     forget(shared, members, nodes, signed, rows_of, centres, apart, first, sets, spread, placed)
     if more.isEmpty():

@@ -274,11 +274,12 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     others = others.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other")
     second = save(likeliest(others, percent).join(pairs, ["a", "b"], "left_anti"), "second")
     parts = joined(first, verified(second, sets, percent))
-    left = save(unsettled(members.select("key", "node"), parts).select("node").distinct(), "left")
+    # Components only grow, so a bucket that held one holds one.
+    left = save(unsettled(apart.select("key", "node"), parts).select("node").distinct(), "left")
     rest = save(thinned(sets, left), "rest")
     total = rest.agg(F.sum(F.size("items"))).first()[0] or 0
     prefix, spread = prefixes(rest, _read, total, percent)
-    more, placed = across(prefix, parts, percent)
+    more, placed = across(prefix, parts, percent, spread)
     third = save(more.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
     out = joined(parts, verified(third, sets, percent))
     forget(one_each, shared, members, pairs, rows_of, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
