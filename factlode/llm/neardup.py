@@ -334,20 +334,32 @@ def prefixes(source: DataFrame, read: Reader, total: int, percent: int) -> tuple
     return rows.dropDuplicates(["node"]), spread
 
 
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components, that may be similar enough, by the items they share, of which only some
+    later ones are left out. Of ``rows`` (item, node, n, at, short, component, before, earlier), the last
+    two are the node's items of the two ranks before."""
+    n = F.col("n")
+    other = rows.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("at").alias("to"), F.col("before").alias("last"), F.col("earlier").alias("last_but_one"))
+    larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
+    # At the first item two sets share, what follows it in each must still hold the overlap they need.
+    room = (100 + percent) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= percent * (n + F.col("m"))
+    # Two sets that also share an item just before this one meet there, as that is in both prefixes too.
+    met_before = [F.coalesce(F.col(x) == F.col(y), F.lit(False)) for x in ("before", "earlier") for y in ("last", "last_but_one")]
+    new = ~(met_before[0] | met_before[1] | met_before[2] | met_before[3])
+    met = rows.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= percent * F.col("m")) & room & new)
+    return met.select(*_pairs("node", "b"))
+
+
 def across(prefix: DataFrame, parts: DataFrame, percent: int, spread: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes of different components that share a rare shingle and may be similar enough; and the rows they come from, saved."""
     # A node learns its component while it is one row, not once for each of its shingles.
-    each = prefix.join(parts, "node", "left").select("node", "n", "short", F.coalesce("component", "node").alias("component"), F.inline(F.arrays_zip("items", "at")).alias("item", "at"))
-    placed = save((each if spread is None else each.join(spread, "item", "left_semi")).select("item", "node", "n", "at", (F.col("at") <= F.col("short")).alias("short"), "component"), "prefix")
+    before, earlier = (F.concat(F.array_repeat(F.lit(None).cast("long"), k), "items") for k in (1, 2))
+    each = prefix.join(parts, "node", "left").select("node", "n", "short", F.coalesce("component", "node").alias("component"), F.inline(F.arrays_zip("items", "at", before, earlier)).alias("item", "at", "before", "earlier"))
+    each = each.filter("item IS NOT NULL")
+    placed = save((each if spread is None else each.join(spread, "item", "left_semi")).select("item", "node", "n", "at", (F.col("at") <= F.col("short")).alias("short"), "component", "before", "earlier"), "prefix")
     spread = placed.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("item")
     rows = placed.join(spread, "item", "left_semi")
-    n = F.col("n")
-    other = rows.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("at").alias("to"))
-    larger = (F.col("m") > n) | ((F.col("m") == n) & (F.col("b") > F.col("node")))
-    # At the first item two sets share, what follows it in each must still hold the overlap they need.
-    room = (100 + percent) * (1 + F.least(n - F.col("at"), F.col("m") - F.col("to"))) >= percent * (n + F.col("m"))
-    met = rows.filter("short").join(other, "item").filter((F.col("component") != F.col("c")) & larger & (100 * n >= percent * F.col("m")) & room)
-    return met.select(*_pairs("node", "b")).distinct(), placed
+    return meetings(rows, percent).distinct(), placed
 
 
 def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ give each similar pair slack + 1 parts in which they agree; so a set with empty
    however often each comes. Of two in one partition, one in 2^40 pairs is taken for the other, which costs
    a comparison and never a link. A Bloom filter of bounded size and a join leave their rows.
 3. Nodes of a bucket meet its centres, never all others; each node is paired with the centre that
-   shares most of its signatures and verified on the full sets; components are found by alternating
-   large-star and small-star. A second round does so with centres of other components.
+   shares most of its signatures and verified on the full sets, unless their outlines (four bits for each
+   of as many parts of the domain as a set has shingles) differ in more parts than similar sets have
+   different elements; components are found by alternating large-star and small-star. A second round does so with centres of other components.
 4. Nodes of buckets that still hold several components are compared by their rarest shingles, of which
    a similar pair shares one; pairs of different components are verified. A set with many shingles
    of its own drops out here without being paired.
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 from . import sieve
 from . import textkit as tk
 from .common import forget, ids_and_text, save, table
-from .neardup import across, components, different_sets, digest, joined, once, prefixes, sets_of, shingle_sets, thinned, unsettled, verified
+from .neardup import across, components, different_sets, digest, ends_of, joined, once, prefixes, sets_of, shingle_sets, thinned, unsettled, verified
 
 SHINGLE, PERCENT = 4, 85
 U64 = np.uint64
@@ -250,6 +251,54 @@ def likeliest(met: DataFrame, percent: int) -> DataFrame:
     return best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def outline(items: np.ndarray) -> bytes:
+    """Four bits for each of 2**k equal parts of the domain, as many as there are sorted hashes or more: the exclusive or of the last bits of those in it."""
+    k = max(3, (len(items) - 1).bit_length())
+    part = (items >> U64(64 - k)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    out = np.zeros(1 << k, np.uint8)
+    out[part[starts]] = np.bitwise_xor.reduceat((items & U64(15)).astype(np.uint8), starts)
+    return (out[::2] << 4 | out[1::2]).tobytes()
+
+
+def apart_in(x: bytes, y: bytes) -> int:
+    """In how many parts two outlines differ; the sets differ in as many elements at least."""
+    a, b = (np.frombuffer(z, np.uint8) for z in sorted((x, y), key=len))
+    while len(b) > len(a):
+        # Two neighbouring parts become one.
+        b = (b >> 4) ^ (b & 15)
+        b = b[::2] << 4 | b[1::2]
+    d = a ^ b
+    return int(np.count_nonzero(d >> 4) + np.count_nonzero(d & 15))
+
+
+def outlined(sets: DataFrame) -> DataFrame:
+    """(node, n, outline) of ``sets`` (node, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sized = [(len(items), outline(items)) for _, items in _read(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([n for n, _ in sized], pa.int64()), pa.array([x for _, x in sized], pa.binary())], names=["node", "n", "outline"])
+
+    return sets.select("node", "items").mapInArrow(run, "node binary, n long, outline binary")
+
+
+def close(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose outlines do not rule out that they are similar enough: an outline is a twelfth of a set, and no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            most = both + 2 * (-both * percent // (100 + percent))
+            keep = [apart_in(x, y) <= k for x, y, k in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), most, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    outlines = thinned(outlines, ends_of(pairs))
+    first = pairs.join(outlines.select(F.col("node").alias("a"), "n", F.col("outline").alias("x")), "a")
+    met = first.join(outlines.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("outline").alias("y")), "b")
+    return met.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
 def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with another one. ``marked`` is the sketch of ``docs``."""
     spark = docs.sparkSession
@@ -265,7 +314,9 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     nodes = members.select("node").distinct()
     rows_of = save(one_each.join(nodes, "node", "left_semi").select("node", "at"), "rows_of")
     sets = once(save(sets_of(docs, rows_of, shingle), "sets"), rows_of.count())
-    first = components(verified(pairs, sets, percent))
+    outlines = save(outlined(sets), "outlines")
+    tried = [save(close(pairs, outlines, percent), "tried")]
+    first = components(verified(tried[0], sets, percent))
     apart = unsettled(members.select("key", "node"), first)
     sized = members.select("node", "n").distinct()
     chosen = [F.min_by(F.struct(F.col("node").alias("other"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(32)))) for k in range(SECOND)]
@@ -273,7 +324,8 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     others = apart.join(centres, "key").filter("component <> c").select("node", "other")
     others = others.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other")
     second = save(likeliest(others, percent).join(pairs, ["a", "b"], "left_anti"), "second")
-    parts = joined(first, verified(second, sets, percent))
+    tried.append(save(close(second, outlines, percent), "tried"))
+    parts = joined(first, verified(tried[1], sets, percent))
     # Components only grow, so a bucket that held one holds one.
     left = save(unsettled(apart.select("key", "node"), parts).select("node").distinct(), "left")
     rest = save(thinned(sets, left), "rest")
@@ -281,8 +333,9 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     prefix, spread = prefixes(rest, _read, total, percent)
     more, placed = across(prefix, parts, percent, spread)
     third = save(more.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
-    out = joined(parts, verified(third, sets, percent))
-    forget(one_each, shared, members, pairs, rows_of, sets, first, apart, centres, second, parts, left, rest, spread, placed, third)
+    tried.append(save(close(third, outlines, percent), "tried"))
+    out = joined(parts, verified(tried[2], sets, percent))
+    forget(one_each, shared, members, pairs, rows_of, sets, outlines, first, apart, centres, second, parts, left, rest, spread, placed, third, *tried)
     return out
 
 
