@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ids_and_text, table
+from .common import CACHES, ids_and_text, table
 
 #: Entries of a cache's newer half.
 CACHE = 100_000
@@ -218,6 +218,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+CACHES.append(codec.cache_clear)
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (decimal, joined by a space) and decoded text of every document."""
 

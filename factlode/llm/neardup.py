@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from . import textkit as tk
-from .common import forget, ids_and_text, save, table, unused
+from .common import forget, ids_and_text, let_go, save, table, unused
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 32, 4, 75
 #: Different choices of a bucket's centre.
@@ -131,6 +131,7 @@ def gathered(run: Callable, rows: int = 1 << 16) -> Callable:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         met: set[bytes | None] = {None}
         n, nodes, keys, signs = [], [], [], []

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import ids_and_text, table
+from .common import ids_and_text, let_go, table
 
 NGRAM, BUCKETS, ALPHA = 3, 1 << 16, 0.5
 #: Mean log ratio for each n-gram, in nats, from which a document is kept.
@@ -66,6 +66,7 @@ def ngram_sums(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     flagged = ids_and_text(docs).join(F.broadcast(trusted_ids.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", F.col("trusted").isNotNull().alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             marks = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
@@ -153,6 +154,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             if batch.num_rows:
                 got = _verdicts(batch.column("text"), sent.value, threshold)
@@ -167,6 +169,7 @@ def keep_rows(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_verdicts(batch.column(at), sent.value, threshold)["kept"]))

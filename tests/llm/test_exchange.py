@@ -73,3 +73,15 @@ def test_pairs_that_share_many_rare_shingles_meet_seldom(spark):
     met, plain = neardup.meetings(placed, 85).count(), neardup.meetings(placed.withColumns({c: F.lit(None).cast("long") for c in ("before", "earlier")}), 85)
     assert plain.distinct().exceptAll(pairs).isEmpty() and pairs.count() == plain.distinct().count() > 60
     assert 2 * met < plain.count()
+
+
+def test_codec_leaves_the_worker_before_the_next_query(spark):
+    import pyarrow as pa
+
+    from factlode.llm import bpe
+
+    text = pa.RecordBatch.from_pydict({"doc_id": [1], "at": [1], "text": ["some words that are looked at once more"]})
+    bpe.codec(bpe.word_vocabulary()).encode(text["text"].to_pylist())
+    assert bpe.codec.cache_info().currsize == 1
+    assert [r.num_rows for r in neardup._sketch(iter([text]))] == [1]
+    assert bpe.codec.cache_info().currsize == 0
