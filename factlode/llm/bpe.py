@@ -51,7 +51,7 @@ def byte_symbols() -> list[str]:
 
 def lower(text: str) -> str:
     """Each character alone, so that no context rule (as for a final sigma) applies."""
-    return text.lower() if text.isascii() else "".join(c.lower() for c in text)
+    return text.lower() if "\u03a3" not in text else "".join([c.lower() for c in text])
 
 
 class Merger:
@@ -69,61 +69,75 @@ class Merger:
         at = np.searchsorted(self.keys[:-1], key)
         return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.rank[at], NONE)
 
-    def __call__(self, words: list[list[int]]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        size = np.array([max(1, len(w) - 1).bit_length() for w in words]) if words else np.zeros(0, int)
+    def __call__(self, symbols: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+        """The merged symbols of each word, of all words' symbols end to end and their counts."""
+        out: list[list[int]] = [[]] * len(sizes)
+        ends = np.cumsum(sizes)
+        # The bit length of the count of pairs, one at least.
+        size = np.frexp(np.maximum(sizes - 1, 1))[1]
         for bits in np.unique(size):
             at = np.flatnonzero(size == bits)
             step = max(1, (1 << 18) >> int(bits))
             for a in range(0, len(at), step):
                 part = at[a : a + step]
-                for k, ids in zip(part, self._merge([words[k] for k in part], 1 << int(bits)), strict=True):
-                    out[k] = ids
+                many = sizes[part]
+                ids, met = self._merge(symbols[np.repeat(ends[part] - np.cumsum(many), many) + np.arange(many.sum())], many, 1 << int(bits))
+                ids, stop = ids.tolist(), 0
+                for k, n in zip(part.tolist(), met.tolist(), strict=True):
+                    out[k] = ids[stop : stop + n]
+                    stop += n
         return out
 
-    def _merge(self, words: list[list[int]], width: int) -> list[list[int]]:
-        n = len(words)
-        sizes = np.array([len(w) for w in words])
-        sym = np.full((n, width + 1), -1, np.int64)
-        sym[np.arange(width + 1) < sizes[:, None]] = np.concatenate([np.array(w, np.int64) for w in words])
-        nxt = np.tile(np.arange(1, width + 2), (n, 1))
-        prv = np.tile(np.arange(-1, width), (n, 1))
-        tree = np.full((n, 2 * width), NONE, np.int64)
-        rank = self.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width)
-        tree[:, width:] = np.where(rank < NONE, rank * width + np.arange(width), NONE)
+    def _merge(self, symbols: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """What is left of words with ``width`` pairs at most, end to end, and how much of each."""
+        n, wide = len(sizes), width + 1
+        grid = np.full((n, wide), -1, np.int64)
+        grid[np.arange(wide) < sizes[:, None]] = symbols
+        leaves = np.full((n, 2 * width), NONE, np.int64)
+        rank = self.ranks(grid[:, :-1].ravel(), grid[:, 1:].ravel()).reshape(n, width)
+        leaves[:, width:] = np.where(rank < NONE, rank * width + np.arange(width), NONE)
         half = width
         while half > 1:
             half //= 2
-            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
-        live = np.flatnonzero(tree[:, 1] < NONE)
+            leaves[:, half : 2 * half] = np.minimum(leaves[:, 2 * half : 4 * half : 2], leaves[:, 2 * half + 1 : 4 * half : 2])
+        # From here on all words' arrays are flat: a word's row begins at ``live`` times the row's length.
+        sym, tree = grid.ravel(), leaves.ravel()
+        nxt = np.tile(np.arange(1, wide + 1), n)
+        prv = np.tile(np.arange(-1, width), n)
+        live = np.flatnonzero(leaves[:, 1] < NONE)
         while len(live):
-            root = tree[live, 1]
+            row, top = live * wide, live * (2 * width)
+            root = tree[top + 1]
             i = root % width
-            j = nxt[live, i]
-            after = nxt[live, j]
-            sym[live, i] = self.made[root // width]
-            sym[live, j] = -1
-            nxt[live, i] = after
+            here = row + i
+            j = nxt[here]
+            after = nxt[row + j]
+            made = self.made[root // width]
+            sym[here] = made
+            sym[row + j] = -1
+            nxt[here] = after
             inside = after <= width
-            prv[live[inside], after[inside]] = i[inside]
-            right = np.where(inside, sym[live, np.minimum(after, width)], -1)
-            self._set(tree, live, i, self.ranks(sym[live, i], right), width)
+            prv[(row + after)[inside]] = i[inside]
+            right = np.where(inside, sym[row + np.minimum(after, width)], -1)
+            self._set(tree, top, i, self.ranks(made, right), width)
             gone = j < width
-            self._set(tree, live[gone], j[gone], np.full(int(gone.sum()), NONE), width)
-            before = prv[live, i]
+            self._set(tree, top[gone], j[gone], np.full(int(gone.sum()), NONE), width)
+            before = prv[here]
             has = before >= 0
-            r, b = live[has], before[has]
-            self._set(tree, r, b, self.ranks(sym[r, b], sym[r, i[has]]), width)
-            live = live[tree[live, 1] < NONE]
-        return [row[row >= 0].tolist() for row in sym]
+            b = before[has]
+            self._set(tree, top[has], b, self.ranks(sym[row[has] + b], made[has]), width)
+            live = live[tree[top + 1] < NONE]
+        left = grid >= 0
+        return grid[left], left.sum(axis=1)
 
     @staticmethod
-    def _set(tree: np.ndarray, rows: np.ndarray, leaf: np.ndarray, rank: np.ndarray, width: int) -> None:
+    def _set(tree: np.ndarray, top: np.ndarray, leaf: np.ndarray, rank: np.ndarray, width: int) -> None:
         at = leaf + width
-        tree[rows, at] = np.where(rank < NONE, rank * width + leaf, NONE)
+        tree[top + at] = np.where(rank < NONE, rank * width + leaf, NONE)
         for _ in range(width.bit_length() - 1):
             at = at >> 1
-            tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+            below = top + 2 * at
+            tree[top + at] = np.minimum(tree[below], tree[below + 1])
 
 
 class Codec:
@@ -142,15 +156,21 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         symbols = byte_symbols()
-        self.inner = [vocab[s] for s in symbols]
-        self.last = [vocab[s + self.end] for s in symbols]
+        self.inner = np.array([vocab[s] for s in symbols], np.int64)
+        self.last = np.array([vocab[s + self.end] for s in symbols], np.int64)
+        self.digits = {k: str(k) for k in self.text}
         self.words: dict[int | str, tuple[str, str]] = {}
         self.pieces: dict[str, tuple[str, str]] = {}
         self.old_words, self.old_pieces = self.words, self.pieces
 
-    def _symbols(self, word: str) -> list[int]:
-        b = word.encode()
-        return [*(self.inner[x] for x in b[:-1]), self.last[b[-1]]]
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The byte symbols of words end to end, and how many each has."""
+        coded = [w.encode() for w in words]
+        sizes = np.array([len(b) for b in coded], np.int64)
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        out, ends = self.inner[data], np.cumsum(sizes) - 1
+        out[ends] = self.last[data[ends]]
+        return out, sizes
 
     def _parts(self, piece: str) -> list[int | str]:
         """Added tokens (ids) and words of a text, in order."""
@@ -185,15 +205,19 @@ class Codec:
                 known[w] = got
             else:
                 lacking.append(w)
-        symbols = [[w] if isinstance(w, int) else self._symbols(w) for w in lacking]
-        for w, ids in zip(lacking, self.merge(symbols), strict=True):
-            known[w] = " ".join(map(str, ids)), self.decode(ids)
+        words = [w for w in lacking if isinstance(w, str)]
+        for w in lacking:
+            if isinstance(w, int):
+                known[w] = self.digits[w], self.decode([w])
+        digits, text = self.digits.__getitem__, self.text.__getitem__
+        for w, ids in zip(words, self.merge(*self._symbols(words)), strict=True):
+            known[w] = " ".join(map(digits, ids)), " ".join(map(text, ids))
         for p, parts in new.items():
             if len(parts) == 1:
                 self.pieces[p] = known[parts[0]]
             else:
-                got = [known[w] for w in parts]
-                self.pieces[p] = " ".join([x for x, _ in got]), " ".join([x for _, x in got])
+                ids, texts = zip(*map(known.__getitem__, parts), strict=True) if parts else ((), ())
+                self.pieces[p] = " ".join(ids), " ".join(texts)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.text[i] for i in ids)
@@ -205,11 +229,14 @@ class Codec:
     def both(self, texts: list[str]) -> list[tuple[str, str]]:
         """Ids (decimal, joined by a space) and decoded text of each text."""
         cut = [[p for p in SPACES.split(t) if p] if SEPARATORS.search(t) else t.split() for t in texts]
-        self.learn({p for pieces in cut for p in pieces})
+        self.learn(set().union(*cut))
         out = []
         for pieces in cut:
-            got = [x for x in map(self.pieces.__getitem__, pieces) if x[0]]
-            out.append((" ".join([x for x, _ in got]), " ".join([x for _, x in got])))
+            ids, decoded = zip(*map(self.pieces.__getitem__, pieces), strict=True) if pieces else ((), ())
+            if "" in ids:
+                # Pieces without tokens leave no space behind.
+                ids, decoded = zip(*filter(lambda x: x[0], zip(ids, decoded, strict=True)), strict=True) if any(ids) else ((), ())
+            out.append((" ".join(ids), " ".join(decoded)))
         return out
 
 

@@ -301,3 +301,34 @@ def test_signatures_met_twice_survive_packing():
         expected = pe.named(*pe.coarse(np.concatenate([keys[:1], keys[2500:3000]]), parts))
         assert sorted(found.tolist()) == sorted(expected.tolist())
     assert not list(pe.met_twice(iter([])))
+
+
+def test_bpe_makes_few_calls_for_a_new_word():
+    import sys
+
+    from tokenizers import Tokenizer
+
+    from factlode.llm import bpe
+
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABÀÉßİΣσςé中文😀0123456789'-.,<"
+    texts = ["", " ", "ΑΣ ΑΣΑ Σ", "<|endoftext|>a<|endoftext|>", "­ ​ x", *(" ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 40))) for _ in range(60)) for _ in range(40))]
+    codec, calls = bpe.Codec(bpe.word_vocabulary()), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        got = codec.both(texts)
+    finally:
+        sys.setprofile(None)
+    # Work for each symbol is done for all words at once: before, each character and token of a new word was a call.
+    assert calls < 4 * len({p for t in texts for p in t.split()})
+    tk = Tokenizer.from_file(bpe.word_vocabulary())
+    tk.no_truncation()
+    tk.no_padding()
+    for text, (ids, decoded) in zip(texts, got, strict=True):
+        want = tk.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, want)) and decoded == tk.decode(want, skip_special_tokens=False)
