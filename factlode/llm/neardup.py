@@ -31,12 +31,13 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sieve
@@ -54,6 +55,17 @@ BINS, BLOCK = 1 << 23, 1 << 12
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Shingles whose hashes are made at once, and the room for them.
+_AT_ONCE = 256
+_ROOM = np.empty((BANDS * ROWS, _AT_ONCE), np.uint64)
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted different values of an array that is not empty; for sets of a text's size a plain sort is faster than np.unique."""
+    hashes = np.sort(hashes)
+    first = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+    return hashes[first]
 
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -65,7 +77,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarra
         at = np.searchsorted(row, np.arange(len(offsets)))
         for a, b in zip(at, at[1:], strict=False):
             if b - a >= shingle:
-                yield np.unique(window[a : b - shingle + 1])
+                yield distinct(window[a : b - shingle + 1])
             elif b > a:
                 # Mixed with its length, so that it differs from any full shingle.
                 yield tk.mix(tk.windows(hashes[a:b], row[a:b], int(b - a))[0] + np.uint64(b - a))
@@ -76,9 +88,12 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarra
 def minima(items: np.ndarray) -> np.ndarray:
     """The least value of each hash function over a set."""
     out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(items), 2048):
-        part = items[k : k + 2048]
-        out = np.minimum(out, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1))
+    for k in range(0, len(items), _AT_ONCE):
+        part = items[k : k + _AT_ONCE]
+        room = _ROOM[:, : len(part)]
+        np.multiply(_A[:, None], part, out=room)
+        np.add(room, _B[:, None], out=room)
+        np.minimum(out, room.min(axis=1), out=out)
     return out
 
 
@@ -257,13 +272,16 @@ def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
     return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
-def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows (key, node, component) of the buckets that hold more than one component."""
-    placed = save(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    out = save(placed.join(mixed, "key", "left_semi"), "unsettled")
-    forget(placed, mixed)
-    return out
+def unsettled(members: DataFrame, parts: DataFrame, **more: Column) -> DataFrame:
+    """The rows of the buckets of ``members`` (key, node) that hold more than one component, with that of each node.
+
+    ``more`` are aggregates of a whole bucket. Rows are dealt by bucket once for all of it, as when they were found."""
+    # Dealt before the windows' own columns are made, which else would be moved too.
+    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).repartition("key")
+    bucket = Window.partitionBy("key")
+    mark = F.xxhash64("component")
+    mixed = placed.withColumns({"lo": F.min(mark).over(bucket), "hi": F.max(mark).over(bucket)} | {name: of.over(bucket) for name, of in more.items()})
+    return save(mixed.filter("lo <> hi").select(*members.columns, "component", *more), "unsettled")
 
 
 def _pairs(left: str, right: str) -> list:
@@ -274,6 +292,17 @@ def _pairs(left: str, right: str) -> list:
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[bytes, np.ndarray]]]
 
 
+def _folded(met: np.ndarray) -> bytes:
+    """A block of counts, up to 65,535 each: first the low bytes, then the high ones, which are mostly zero."""
+    met = np.minimum(met, 65535)
+    return zlib.compress((met & 255).astype(np.uint8).tobytes() + (met >> 8).astype(np.uint8).tobytes(), 1)
+
+
+def _counts(folded: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zlib.decompress(folded), np.uint8).reshape(2, -1).astype(np.uint16)
+    return high << np.uint16(8) | low
+
+
 def rarity(source: DataFrame, read: Reader, total: int) -> np.ndarray:
     """How often the shingles of each bin stand in the sets of ``source``, up to 65,535; at most ``BINS`` numbers come to the driver."""
     bins = min(BINS, 1 << max(16, int(total).bit_length()))
@@ -284,23 +313,24 @@ def rarity(source: DataFrame, read: Reader, total: int) -> np.ndarray:
             for _, items in read(batch):
                 np.add.at(met, (items & np.uint64(bins - 1)).astype(np.int64), 1)
         for k in np.flatnonzero(met.reshape(-1, BLOCK).any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(met[k * BLOCK : (k + 1) * BLOCK], 65535).astype("<u2").tobytes()], pa.binary())], names=["block", "met"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_folded(met[k * BLOCK : (k + 1) * BLOCK])], pa.binary())], names=["block", "met"])
 
     def add(rows: pa.Table) -> pa.Table:
-        met = sum(np.frombuffer(x, "<u2").astype(np.uint64) for x in rows["met"].to_pylist())
-        return pa.table({"block": rows["block"][:1], "met": pa.array([np.minimum(met, 65535).astype("<u2").tobytes()], pa.binary())})
+        met = sum(_counts(x).astype(np.uint64) for x in rows["met"].to_pylist())
+        return pa.table({"block": rows["block"][:1], "met": pa.array([_folded(met)], pa.binary())})
 
     got = source.mapInArrow(run, "block int, met binary").groupBy("block").applyInArrow(add, "block int, met binary").toArrow()
     out = np.zeros(bins, np.uint16)
     for k, met in zip(got["block"].to_pylist(), got["met"].to_pylist(), strict=True):
-        out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(met, "<u2")
+        out[k * BLOCK : (k + 1) * BLOCK] = _counts(met)
     return out
 
 
 def rarest(items: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
-    """The n - ceil(p n) + 1 rarest of n shingles, rarest first: of a similar pair, both sets show one."""
+    """The n - ceil(p n) + 1 rarest of n sorted shingles, rarest first: of a similar pair, both sets show one."""
     keep = len(items) - -(-len(items) * percent // 100) + 1
-    return items[np.lexsort((items, met[(items & np.uint64(len(met) - 1)).astype(np.int64)]))][:keep]
+    # Of equally rare ones the least come first, as the items are in order.
+    return items[np.argsort(met[(items & np.uint64(len(met) - 1)).astype(np.int64)], kind="stable")[:keep]]
 
 
 def prefixes(source: DataFrame, read: Reader, total: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -392,10 +422,10 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     sets = once(save(sets_of(docs, rows_of), "sets"), rows_of.count())
     first = components(verified(pairs, sets))
     # Once more, only for what is still apart: nodes against centres of other components.
-    apart = unsettled(members, first)
     chosen = [F.min_by(F.struct(F.col("node").alias("b"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(BANDS)))) for k in range(SECOND)]
-    centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("centres")).select("key", F.inline("centres")), "centres")
-    others = apart.join(centres, "key").filter("component <> c").select(*_pairs("node", "b")).distinct()
+    apart = unsettled(members, first, **{f"centre{k}": c for k, c in enumerate(chosen)})
+    met = apart.select("node", "component", F.inline(F.array_distinct(F.array(*(f"centre{k}" for k in range(SECOND))))))
+    others = met.filter("component <> c").select(*_pairs("node", "b")).distinct()
     second = save(promising(with_signs(others.join(pairs, ["a", "b"], "left_anti"), signed)), "second")
     parts = joined(first, verified(second, sets))
     pairs = pairs.unionByName(second)
@@ -405,7 +435,7 @@ def linked(sketch: DataFrame, docs: DataFrame) -> DataFrame:
     prefix, spread = prefixes(docs.select("text"), read, total, PERCENT)
     more, placed = across(prefix, parts, PERCENT, spread)
     more = save(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    forget(shared, members, nodes, signed, rows_of, centres, apart, first, sets, spread, placed)
+    forget(shared, members, nodes, signed, rows_of, apart, first, sets, spread, placed)
     if more.isEmpty():
         return parts
     ends = ends_of(more)

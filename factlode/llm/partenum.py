@@ -43,7 +43,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sieve
@@ -229,8 +229,10 @@ def those(batches: Iterator[pa.RecordBatch], chosen: Broadcast) -> Iterator[pa.R
 
 
 def bucket_members(docs: DataFrame, chosen: Broadcast, shared: DataFrame, parts: int, shingle: int, percent: int) -> DataFrame:
-    """(key, node, n): the nodes of each shared signature, with their sizes."""
+    """(key, node, n, other, m): the nodes of each shared signature, with their sizes, and the centre of its bucket."""
     sent = docs.sparkSession.sparkContext.broadcast(sieve.build(shared, "key", sieve.sized(shared.count())))
+    # Chosen where the join has dealt a bucket's rows to, so that they are not moved again for it.
+    centre = F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m")), F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))).over(Window.partitionBy("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, nodes, sizes, many in shown(those(batches, chosen), shingle, percent):
@@ -239,7 +241,7 @@ def bucket_members(docs: DataFrame, chosen: Broadcast, shared: DataFrame, parts:
             of = np.repeat(np.arange(len(nodes)), many)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes, pa.binary()).take(pa.array(of)), pa.array(sizes[of])], names=["key", "node", "n"])
 
-    return docs.select("at", "text").mapInArrow(run, "key long, node binary, n long").join(shared, "key", "left_semi").distinct()
+    return docs.select("at", "text").mapInArrow(run, "key long, node binary, n long").join(shared, "key", "left_semi").distinct().withColumn("c", centre).select("key", "node", "n", "c.*")
 
 
 def likeliest(met: DataFrame, percent: int) -> DataFrame:
@@ -308,22 +310,17 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     parts_of_keys = parts_for(spark, total)
     shared = save(shared_keys(docs, chosen_rows, parts_of_keys, shingle, percent), "shared")
     members = save(bucket_members(docs, chosen_rows, shared, parts_of_keys, shingle, percent), "members")
-    turn = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))
-    centre = members.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m")), turn).alias("c")).select("key", "c.*")
-    pairs = save(likeliest(members.join(centre, "key"), percent), "pairs")
+    pairs = save(likeliest(members, percent), "pairs")
     nodes = members.select("node").distinct()
     rows_of = save(one_each.join(nodes, "node", "left_semi").select("node", "at"), "rows_of")
     sets = once(save(sets_of(docs, rows_of, shingle), "sets"), rows_of.count())
     outlines = save(outlined(sets), "outlines")
     tried = [save(close(pairs, outlines, percent), "tried")]
     first = components(verified(tried[0], sets, percent))
-    apart = unsettled(members.select("key", "node"), first)
-    sized = members.select("node", "n").distinct()
-    chosen = [F.min_by(F.struct(F.col("node").alias("other"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(32)))) for k in range(SECOND)]
-    centres = save(apart.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("c")).select("key", F.inline("c")), "centres")
-    others = apart.join(centres, "key").filter("component <> c").select("node", "other")
-    others = others.join(sized, "node").join(sized.select(F.col("node").alias("other"), F.col("n").alias("m")), "other")
-    second = save(likeliest(others, percent).join(pairs, ["a", "b"], "left_anti"), "second")
+    chosen = [F.min_by(F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c")), F.xxhash64(F.lit(k), "node", F.pmod("key", F.lit(32)))) for k in range(SECOND)]
+    apart = unsettled(members.select("key", "node", "n"), first, **{f"centre{k}": c for k, c in enumerate(chosen)})
+    others = apart.select("node", "n", "component", F.inline(F.array_distinct(F.array(*(f"centre{k}" for k in range(SECOND))))))
+    second = save(likeliest(others.filter("component <> c"), percent).join(pairs, ["a", "b"], "left_anti"), "second")
     tried.append(save(close(second, outlines, percent), "tried"))
     parts = joined(first, verified(tried[1], sets, percent))
     # Components only grow, so a bucket that held one holds one.
@@ -335,7 +332,7 @@ def linked(docs: DataFrame, marked: DataFrame, shingle: int, percent: int) -> Da
     third = save(more.join(pairs.unionByName(second), ["a", "b"], "left_anti"), "third")
     tried.append(save(close(third, outlines, percent), "tried"))
     out = joined(parts, verified(tried[2], sets, percent))
-    forget(one_each, shared, members, pairs, rows_of, sets, outlines, first, apart, centres, second, parts, left, rest, spread, placed, third, *tried)
+    forget(one_each, shared, members, pairs, rows_of, sets, outlines, first, apart, second, parts, left, rest, spread, placed, third, *tried)
     return out
 
 

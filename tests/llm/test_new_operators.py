@@ -332,3 +332,37 @@ def test_bpe_makes_few_calls_for_a_new_word():
     for text, (ids, decoded) in zip(texts, got, strict=True):
         want = tk.encode(text, add_special_tokens=False).ids
         assert ids == " ".join(map(str, want)) and decoded == tk.decode(want, skip_special_tokens=False)
+
+
+def test_counts_of_shingles_fold_to_few_bytes():
+    import numpy as np
+
+    from factlode.llm import neardup
+
+    rng = np.random.default_rng(2)
+    met = rng.poisson(0.15, neardup.BLOCK).astype(np.uint32)
+    # Before, a block of rare shingles took two bytes for each bin.
+    assert len(neardup._folded(met)) < neardup.BLOCK // 2
+    met[:3] = 70_000, 65_535, 256
+    assert neardup._counts(neardup._folded(met)).tolist() == np.minimum(met, 65535).tolist()
+    assert neardup.distinct(np.array([5, 1, 5, 2**63], np.uint64)).tolist() == [1, 5, 2**63]
+
+
+def test_a_bucket_is_dealt_once_to_tell_whether_it_is_settled(spark):
+    from pyspark.sql import functions as F
+
+    from factlode.llm import neardup
+
+    rows = [(k, bytes([n])) for k in range(6) for n in range(k, 9)] + [(7, b"x"), (7, b"y")]
+    members = spark.createDataFrame(rows, "key long, node binary")
+    parts = spark.createDataFrame([(bytes([n]), bytes([n // 3])) for n in range(9)] + [(b"x", b"x"), (b"y", b"x")], "node binary, component binary")
+    least, asked = F.min("node"), []
+    keep, neardup.save = neardup.save, lambda df, name: asked.append(df) or keep(df, name)
+    try:
+        got = neardup.unsettled(members, parts, least=least)
+    finally:
+        neardup.save = keep
+    want = {(k, bytes([n]), bytes([n // 3]), bytes([k])) for k in range(6) for n in range(k, 9)}
+    assert {(r.key, bytes(r.node), bytes(r.component), bytes(r.least)) for r in got.collect()} == want
+    # Before, three results were saved one after the other, and the rows were moved for two of them.
+    assert len(asked) == 1 and asked[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(key") == 1
